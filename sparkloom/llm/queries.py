@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import leakage, near_duplicates, packing, similar_vectors, splitting
+from sparkloom.llm import leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
 from sparkloom.session import load
 
 
@@ -61,6 +61,18 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(load(spark, d, "documents").select("doc_id", "kind", "source"), _leaks(spark, d))
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return template_residue.template_residue(load(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return template_residue.found_documents(_residue(spark, d))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return template_residue.without_residue(load(spark, d, "documents").select("doc_id", "kind", "source"), _residue(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
@@ -71,4 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_packing": p7_packing,
         "p8_found": p8_found,
         "p8_clean": p8_clean,
+        "p9_found": p9_found,
+        "p9_clean": p9_clean,
     }
