@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
+from sparkloom.llm import credentials, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
 from sparkloom.session import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(credentials.find_credentials(load(spark, d, "code_chunks")))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact_credentials(load(spark, d, "code_chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = similar_vectors.similar_vectors(
         {
@@ -75,6 +83,8 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_redacted": p1_redacted,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
