@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import credentials, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
+from sparkloom.llm import credentials, handwritten, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
 from sparkloom.session import load
 
 
@@ -19,6 +19,14 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(load(spark, d, "code_chunks"))
 
 
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify_files(load(spark, d, "code_files"), load(spark, d, "code_chunks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(p2_kinds(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = similar_vectors.similar_vectors(
         {
@@ -85,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_redacted": p1_redacted,
+        "p2_found": p2_found,
+        "p2_kinds": p2_kinds,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
