@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import credentials, handwritten, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
+from sparkloom.llm import credentials, function_docs, handwritten, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
 from sparkloom.session import load
 
 
@@ -47,6 +47,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.cut_kinds(p4_pieces(spark, d))
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    table = function_docs.chunk_symbols(load(spark, d, "code_chunks")).unionByName(function_docs.stored_symbols(load(spark, d, "code_symbols")))
+    return function_docs.function_docs(table)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).where("source = 'own'").select("tbl", "record_id", "function_name")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     chunks = load(spark, d, "code_chunks").select(F.lit("code_chunks").alias("tbl"), "id", F.col("chunk_content").alias("text"))
     symbols = load(spark, d, "code_symbols").select(F.lit("code_symbols").alias("tbl"), "id", F.col("definition").alias("text"))
@@ -98,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p5_found": p5_found,
+        "p5_pairs": p5_pairs,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
         "p7_packing": p7_packing,
