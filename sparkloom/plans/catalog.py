@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkloom.plans import relational_queries, retrieval_queries, text_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**retrieval_queries.QUERIES, **relational_queries.QUERIES, **text_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**retrieval_queries.SQL, **relational_queries.SQL, **text_queries.SQL}
