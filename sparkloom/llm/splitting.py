@@ -47,7 +47,7 @@ def cut_item(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, i
             out.append((at, size, first + 1, n if lens[-1] or n == 1 else n - 1, again, False))
             break
         last = int(np.searchsorted(end, room, side="right")) - 1  # last line that fits whole
-        if last < first or end[last] <= at:
+        if last < first or end[last] < at or start[last + 1] <= at:
             stop = room
             out.append((at, stop, first + 1, first + 1, again, True))
             at, again = stop, 0
