@@ -167,22 +167,22 @@ QUERIES = {
 _E = _sim("embeddings", "vec_id", "embedding")
 _C = _sim("code_chunks", "id", "embedding")
 _FS = _sim("code_files", "id", "summary_embedding")
-_HYBRID = f"WITH x AS (SELECT id, {_C} AS sim, 0.1 * {_tf('chunk_content', 'token')} AS kw FROM code_chunks), y AS (SELECT * FROM x WHERE sim > 0.3 OR kw > 0.01)"
+_HYBRID = f"WITH x AS (SELECT id, {_C} AS sim, 0.1::DOUBLE * {_tf('chunk_content', 'token')} AS kw FROM code_chunks), y AS (SELECT * FROM x WHERE sim > 0.3 OR kw > 0.01)"
 
 SQL = {
     "vector_topk": f"WITH t AS (SELECT vec_id, label, {_E} AS sim FROM embeddings) SELECT vec_id, label, source, round(sim, 6) AS similarity FROM (SELECT * FROM t WHERE sim IS NOT NULL ORDER BY sim DESC, vec_id LIMIT 20) LEFT JOIN documents ON doc_id = vec_id",
     "vector_threshold": f"WITH t AS (SELECT id, {_C} AS sim FROM code_chunks) SELECT id, round(sim, 6) AS similarity FROM t WHERE sim > 0.3 ORDER BY sim DESC, id LIMIT 50",
     "chunk_topk_filtered": f"WITH t AS (SELECT id, file_path, {_C} AS sim FROM code_chunks WHERE chunk_type <> 'file_summary' AND language IN ('typescript', 'python')) SELECT id, file_path, round(sim, 6) AS similarity FROM t WHERE sim > 0.2 ORDER BY sim DESC, id LIMIT 25",
     "scoped_topk": f"WITH t AS (SELECT id, repo_id, {_FS} AS sim FROM code_files WHERE repo_id IN (SELECT repo_id FROM repositories WHERE repo_type NOT IN ('reference', 'documentation'))) SELECT id, repo_id, round(sim, 6) AS similarity FROM t WHERE sim > 0.1 ORDER BY sim DESC, id LIMIT 15",
-    "hybrid_topk": _HYBRID + " SELECT id, round(kw, 6) AS keyword, round(0.7 * coalesce(sim, 0) + 0.3 * kw, 6) AS score FROM y ORDER BY 0.7 * coalesce(sim, 0) + 0.3 * kw DESC, id LIMIT 25",
-    "hybrid_null_embedding": _HYBRID + " SELECT id, round(kw, 6) AS keyword, round(0.7 * sim + 0.3 * kw, 6) AS score FROM y ORDER BY 0.7 * sim + 0.3 * kw DESC NULLS FIRST, id LIMIT 40",
+    "hybrid_topk": _HYBRID + " SELECT id, round(kw, 6) AS keyword, round(0.7::DOUBLE * coalesce(sim, 0) + 0.3::DOUBLE * kw, 6) AS score FROM y ORDER BY 0.7::DOUBLE * coalesce(sim, 0) + 0.3::DOUBLE * kw DESC, id LIMIT 25",
+    "hybrid_null_embedding": _HYBRID + " SELECT id, round(kw, 6) AS keyword, round(0.7::DOUBLE * sim + 0.3::DOUBLE * kw, 6) AS score FROM y ORDER BY 0.7::DOUBLE * sim + 0.3::DOUBLE * kw DESC NULLS FIRST, id LIMIT 40",
     "two_stage_topk": f"WITH f AS (SELECT id, repo_path, file_path, {_FS} AS sim FROM code_files), b AS (SELECT DISTINCT repo_path, file_path FROM (SELECT * FROM f WHERE sim IS NOT NULL ORDER BY sim DESC, id LIMIT 10)), c AS (SELECT id, repo_path, file_path, CASE WHEN {_ok('embedding')} THEN list_cosine_similarity(embedding::DOUBLE[], {_q('code_files', 'id', 'summary_embedding')}) END AS sim FROM code_chunks WHERE chunk_type <> 'file_summary' AND (repo_path, file_path) IN (SELECT (repo_path, file_path) FROM b)) SELECT id, repo_path, file_path, round(sim, 6) AS similarity FROM c WHERE sim > 0 ORDER BY sim DESC, id LIMIT 25",
-    "fts_single_term": f"WITH t AS (SELECT doc_id, round(0.1 * {_tf('text', 'channel')}, 6) AS rank FROM documents) SELECT * FROM t WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 50",
+    "fts_single_term": f"WITH t AS (SELECT doc_id, round(0.1::DOUBLE * {_tf('text', 'channel')}, 6) AS rank FROM documents) SELECT * FROM t WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 50",
     "fts_and_terms": f"WITH t AS (SELECT doc_id, {_tf('text', 'channel')} AS a, {_tf('text', 'parser')} AS b FROM documents) SELECT doc_id, a + b AS hits FROM t WHERE a > 0 AND b > 0 ORDER BY hits DESC, doc_id LIMIT 50",
     "l2_topk": f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}), 6) AS distance FROM embeddings WHERE {_ok('embedding')} ORDER BY list_distance(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}), vec_id LIMIT 20",
     "inner_product_topk": f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}), 6) AS product FROM embeddings WHERE {_ok('embedding')} ORDER BY list_inner_product(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}) DESC, vec_id LIMIT 20",
     "two_phase_rerank": f"WITH c AS (SELECT vec_id, embedding, list_cosine_similarity(embedding[1:32]::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}[1:32]) AS part FROM embeddings WHERE {_ok('embedding')} ORDER BY part DESC, vec_id LIMIT 100) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}), 6) AS similarity FROM c ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_q('embeddings', 'vec_id', 'embedding')}) DESC, vec_id LIMIT 10",
-    "rrf_fusion": f"WITH t AS (SELECT id, {_C} AS sim, 0.1 * {_tf('chunk_content', 'token')} AS kw FROM code_chunks), a AS (SELECT id, row_number() OVER (ORDER BY kw DESC, id) AS r FROM t WHERE kw > 0 QUALIFY r <= 20), b AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM t WHERE sim IS NOT NULL QUALIFY r <= 20) SELECT id, round(1.0 / (60 + coalesce(a.r, 1000)) + 1.0 / (60 + coalesce(b.r, 1000)), 8) AS rrf_score FROM a FULL OUTER JOIN b USING (id)",
+    "rrf_fusion": f"WITH t AS (SELECT id, {_C} AS sim, 0.1::DOUBLE * {_tf('chunk_content', 'token')} AS kw FROM code_chunks), a AS (SELECT id, row_number() OVER (ORDER BY kw DESC, id) AS r FROM t WHERE kw > 0 QUALIFY r <= 20), b AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM t WHERE sim IS NOT NULL QUALIFY r <= 20) SELECT id, round(1.0::DOUBLE / (60 + coalesce(a.r, 1000)) + 1.0::DOUBLE / (60 + coalesce(b.r, 1000)), 8) AS rrf_score FROM a FULL OUTER JOIN b USING (id)",
     "topn_per_repo": f"WITH t AS (SELECT repo_id, id, {_FS} AS sim FROM code_files WHERE repo_id IS NOT NULL) SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY sim DESC, id) AS rank FROM t WHERE sim IS NOT NULL QUALIFY rank <= 3",
     "metadata_filtered_topk": f"WITH t AS (SELECT id, {_C} AS sim FROM code_chunks WHERE try_cast(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.complexity') END AS INT) >= 5) SELECT id, round(sim, 6) AS similarity FROM t WHERE sim IS NOT NULL ORDER BY sim DESC, id LIMIT 20",
     "primary_first": f"WITH t AS (SELECT id, repo_id, {_FS} AS sim FROM code_files) SELECT id, repo_id, round(sim, 6) AS similarity FROM t WHERE sim IS NOT NULL ORDER BY CASE WHEN repo_id = 'hibjol-root' THEN 0 ELSE 1 END, sim DESC, id LIMIT 30",

@@ -43,7 +43,14 @@ def load_or_none(spark: SparkSession, sf_dir: str, table: str) -> DataFrame | No
     return load(spark, sf_dir, table) if os.path.exists(f"{sf_dir}/{table}.parquet") else None
 
 
-def spread(df: DataFrame, *cols: str, factor: int = 1) -> DataFrame:
-    """Hash-spread rows evenly; used before Python stages whose cost per row varies."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * factor
-    return df.repartition(n, *[F.col(c) for c in cols]) if cols else df.repartition(n)
+def widen(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores before a costly Python stage if the scan has fewer partitions than cores.
+
+    Large tables come in more partitions than there are cores and are left as they are, without a shuffle; so is a plan that
+    contains a shuffle already (its width is decided at run time).
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -57,11 +57,15 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-@F.pandas_udf("struct<encoding string, confidence double, text string>")
-def decode(content: pd.Series) -> pd.DataFrame:
+def _decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([detect(bytes(c)) if c is not None else (None, 0.0, None) for c in content], columns=["encoding", "confidence", "text"])
 
 
+def decode(content: Column) -> Column:
+    """Struct of encoding, confidence and text of a binary column."""
+    return F.pandas_udf(_decoded, "struct<encoding string, confidence double, text string>")(content)
+
+
 def detect(b: bytes) -> tuple[str, float, str | None]:
     """Byte-order mark, then zero bytes, then UTF-8, then Latin-1."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -108,7 +112,7 @@ def discover(spark: SparkSession, root: str, ignore: Sequence[str] = (), max_lin
         f = f.where(~F.element_at(F.split(p, "/"), -1).contains(x))
     lang = language(p)
     f = f.withColumn("language", lang).where((F.col("language") != "unknown") & ((F.col("language") != "markdown") | F.lower(p).isin("readme.md", "readme.markdown")))
-    f = f.withColumn("d", decode("content")).where(F.col("d.text").isNotNull())
+    f = f.withColumn("d", decode(F.col("content"))).where(F.col("d.text").isNotNull())
     text = F.col("d.text")
     f = f.where(line_count(text) <= max_lines)
     return f.select("file_path", "language", text.alias("content"), F.col("d.encoding").alias("encoding"), line_count(text).alias("total_lines"), F.sha2("content", 256).alias("file_hash"), "size", "last_modified")
