@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import widen
+
 LABELS = "OBI"
 WEIGHTS = Path(__file__).with_name("credential_weights.json")
 
@@ -371,7 +373,7 @@ def find_credentials(chunks: DataFrame, chunk_id: str = "id", text: str = "chunk
                     [pa.array(c[0], pa.int64()), *(pa.array(x, pa.int32()) for x in c[1:4]), pa.array(c[4], pa.bool_())], names=[x.split()[0] for x in FOUND.split(", ")]
                 )
 
-    return _inputs(chunks, chunk_id, text, path).where("i is not null and t is not null").mapInArrow(run, FOUND)
+    return widen(_inputs(chunks, chunk_id, text, path).where("i is not null and t is not null")).mapInArrow(run, FOUND)
 
 
 def redact_credentials(chunks: DataFrame, chunk_id: str = "id", text: str = "chunk_content", path: str = "file_path") -> DataFrame:
@@ -386,7 +388,7 @@ def redact_credentials(chunks: DataFrame, chunk_id: str = "id", text: str = "chu
                 out.append(redact(t, spans) if spans else t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(out, pa.string())], names=["chunk_id", "n_credentials", "redacted"])
 
-    return _inputs(chunks, chunk_id, text, path).mapInArrow(run, "chunk_id bigint, n_credentials int, redacted string")
+    return widen(_inputs(chunks, chunk_id, text, path)).mapInArrow(run, "chunk_id bigint, n_credentials int, redacted string")
 
 
 def credential_lines(found: DataFrame) -> DataFrame:

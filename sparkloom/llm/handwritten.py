@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.wordhash import U64, byte_batches, mix, range_hashes, shingles
-from sparkloom.session import materialise
+from sparkloom.session import materialise, widen
 
 GRAM, WINDOW = 12, 16
 
@@ -147,7 +147,7 @@ def parse_chunks(chunks: DataFrame, repo: str, path: str, text: str) -> DataFram
                     names=names,
                 )
 
-    return chunks.select(F.col(repo).alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).where("t is not null and p is not null").mapInArrow(run, PARSED)
+    return widen(chunks.select(F.col(repo).alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).where("t is not null and p is not null")).mapInArrow(run, PARSED)
 
 
 def classify_files(

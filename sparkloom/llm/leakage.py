@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import widen
+
 from sparkloom.functions.wordhash import U64, byte_batches, word_hashes
 
 MATCH = "doc_id bigint, item_id bigint, matched_words int, doc_word int, item_word int"
@@ -180,7 +182,7 @@ def leaked_passages(
             if doc_ids:
                 yield emit(doc_ids, hs, sizes)
 
-        return src.mapInArrow(run, MATCH)
+        return widen(src).mapInArrow(run, MATCH)
 
     found = reduce(DataFrame.unionByName, [searched(b) for b in blocks])
     return found.groupBy("doc_id", "item_id").agg(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.wordhash import U64, byte_batches, distinct_per_text, mix, shingles, word_hashes
 from sparkloom.operators.components import connected_components
-from sparkloom.session import materialise
+from sparkloom.session import materialise, widen
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 256
 SAMPLES = BANDS * ROWS
@@ -87,7 +87,7 @@ def signatures(df: DataFrame, shingle: int, min_words: int) -> DataFrame:
                     names=[c.split()[0] for c in SIGNATURE.split(", ")],
                 )
 
-    return df.where("id is not null and text is not null").select("tbl", "id", "text").mapInArrow(run, SIGNATURE)
+    return widen(df.where("id is not null and text is not null").select("tbl", "id", "text")).mapInArrow(run, SIGNATURE)
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import materialise
+from sparkloom.session import materialise, widen
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern of this byte-level vocabulary.
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFram
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, tokens bigint")
+    return widen(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
