@@ -12,7 +12,7 @@ from sparkloom.functions import fts, parse
 from sparkloom.functions import text as T
 from sparkloom.functions.vector import cosine, l2, literal_vector
 from sparkloom.functions.wordhash import distinct_per_text, shingles, word_hashes
-from sparkloom.operators import assembly, decompose, graph, incremental, metrics, retrieval
+from sparkloom.operators import assembly, contracts, decompose, graph, incremental, metrics, retrieval
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import catalog
 from sparkloom.sources import files
@@ -195,6 +195,33 @@ def test_ignore_rules(spark):
     assert got == ["keep/x.log", "src/build.py"]
 
 
+def test_contracts(spark):
+    e = spark.createDataFrame([(1, "s1", "r", "GET", "/users/{id}", "getUser", None), (2, "s1", "r", "POST", "/users", None, True), (3, "s2", "r", "GET", "/gone", "", False)], "id bigint, service_id string, repo_id string, method string, path string, operation_id string, deprecated boolean")
+    calls = spark.createDataFrame([(1, "get", "https://h.example/users/42?x=1"), (2, "POST", "/users/"), (3, None, "/users/:id"), (4, "GET", "/none"), (5, None, None)], "call_id bigint, method string, target string")
+    m = contracts.match_calls(calls, e)
+    assert {r.call_id: r.endpoint_id for r in m.collect()} == {1: 1, 2: 2, 3: 1, 4: None, 5: None}
+    c = spark.createDataFrame([(10, "r", "src/a.ts", "async function getUser(id) {}"), (11, "r", "src/b.ts", "app.post('/users', save)"), (12, "q", "src/gone.ts", "get gone")], "id bigint, repo_id string, file_path string, content string")
+    links = contracts.link_implementations(e, c)
+    assert {(r.endpoint_id, r.chunk_id, r.strategy) for r in links.collect()} == {(1, 10, "operation_id"), (2, 11, "route")}
+    assert {(r.type, r.n) for r in contracts.contract_warnings(m, e, links).collect()} == {("deprecated_api", 1), ("unresolved_call", 2), ("unlinked_endpoint", 1)}
+    s = spark.createDataFrame([("s1", "users"), ("s2", None)], "service_id string, service_name string")
+    assert {(r.service_id, r.endpoints, r.linked) for r in contracts.contract_links(e, links, s).collect()} == {("s1", 2, 2), ("s2", 1, 0)}
+
+
+def test_aliases_and_boundaries(spark):
+    i = spark.createDataFrame([("r", "@/util/a"), ("r", "@lib"), ("r", "x"), ("q", "@/util/a")], "repo_id string, import_path string")
+    a = spark.createDataFrame([("r", "@/*", "src/*", 2), ("r", "@/util/*", "shared/*", 1), ("r", "@lib", "lib/index", 3)], "repo_id string, alias_pattern string, resolved_path string, ordinal int")
+    assert {(r.repo_id, r.import_path, r.resolved_path) for r in contracts.resolve_aliases(i, a).collect()} == {("r", "@/util/a", "shared/a"), ("r", "@lib", "lib/index"), ("r", "x", None), ("q", "@/util/a", None)}
+    f = spark.createDataFrame([("p", "a", "w1", None), ("p", "b", "w2", None), ("p", "c", None, None)], "repo_path string, file_path string, workspace_id string, service_id string")
+    e = spark.createDataFrame([("p", "a", "b"), ("p", "a", "c"), ("p", "a", "zz")], "repo_path string, source string, target string")
+    assert {r.target for r in contracts.within_boundary(e, f, same_workspace=True).collect()} == {"c", "zz"}
+    assert {r.target for r in contracts.within_boundary(e, f, only_cross=True).collect()} == {"b", "zz"}
+    m = spark.createDataFrame([('{"a": "1", "b": "2"}', '{"b": "3"}'), (None, '{"c": "4"}'), ("{bad", None)], "o string, n string")
+    assert [r[0] for r in m.select(contracts.merge_metadata(F.col("o"), F.col("n"))).collect()] == ['{"a":"1","b":"3"}', '{"c":"4"}', "{}"]
+    p = spark.createDataFrame([("@a/b/c",), ("lodash/x",)], "p string")
+    assert [r[0] for r in p.select(contracts.package_of_import(F.col("p"))).collect()] == ["@a/b", "lodash"]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("src/App.test.TS", "https://h.example/a/b?q=1", "")], "p string, u string, e string")
     r = df.select(T.extension(F.col("p")).alias("x"), T.stem(F.col("p")).alias("s"), T.language(F.col("p")).alias("l"), T.url_path(F.col("u")).alias("u"), T.line_count(F.col("e")).alias("n"), T.clean_summary(F.lit("Parses   the input")).alias("c")).first()
