@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def signatures(df: DataFrame, shingle: int, min_words: int) -> DataFrame:
                 own = np.concatenate([[0], np.cumsum(counts)])
                 s = s[np.repeat(so[:-1][keep] - own[:-1], counts) + np.arange(own[-1])]
                 names = [tbl[lo + i] or "" for i in keep]
-                known = {t: int.from_bytes((t.encode() + b"\0" * 8)[:8], "little") ^ len(t) * 0x9E3779B1 for t in set(names)}
+                known = {t: xxhash.xxh64_intdigest(t) for t in set(names)}
                 salt = mix(np.array([known[t] for t in names], dtype=U64))
                 cls, sketch, bands = sketch_sets(s, own, salt)
                 flat = pa.array(bands.view(np.int64).ravel())
