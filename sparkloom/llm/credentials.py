@@ -229,14 +229,18 @@ class Field:
 
 _CONTINUED = re.compile(r"""(?:["'`]\s*[+.\\]|[=(]|:\s*[|>][-+]?|=>)\s*$""")
 _LITERAL = re.compile(r"""^\s+[bfru]?["'`]|^\s+-----BEGIN|^\s*[+.]\s*["'`]""")
+_ADJACENT = re.compile(r"""["']\s*$""")
+_STRING = re.compile(r"""^\s+[bfru]?["'](?!["'])""")
+_BETWEEN = re.compile(r"""["'`](?:[+.\\(]*)[bfru]?["'`]""")
 _NEXT_JOINS = re.compile(r"""^\s*[+.]\s*["'`]""")
 
 
 def _joined(line: str, following: str) -> bool:
     """Whether a literal is continued from one line to the next."""
-    return bool(_NEXT_JOINS.match(following) or (_CONTINUED.search(line) and _LITERAL.match(following)))
+    return bool(_NEXT_JOINS.match(following) or (_CONTINUED.search(line) and _LITERAL.match(following)) or (_ADJACENT.search(line) and _STRING.match(following) and not line.rstrip().endswith(('"""', "'''"))))
 
 _B64 = re.compile(r"^[\s#/*\"'+;\\-]*[A-Za-z0-9+/=]{16,}")
+_BODY = re.compile(r"[\s#/*\"']*[A-Za-z0-9+/]*={0,2}(?:\\[rn])*[\s\"'+;,\\]*")
 
 
 #: Literals of which a line must hold one (in lower case) to be read closely; the pattern above decides.
@@ -266,15 +270,35 @@ def _candidates(text: str, lines: list[str]) -> list[int]:
 
 
 def group_at(lines: list[str], i: int) -> tuple[int, int]:
-    """First and last line of the logical line that line i belongs to (8 lines at most on either side)."""
+    """First and last line of the logical line that line i belongs to, however many lines are joined."""
     a = b = i
-    while a and i - a < 7 and _joined(lines[a - 1], lines[a]):
+    while a and _joined(lines[a - 1], lines[a]):
         a -= 1
-    while b + 1 < len(lines) and b - i < 7 and _joined(lines[b], lines[b + 1]):
+    while b + 1 < len(lines) and _joined(lines[b], lines[b + 1]):
         b += 1
     return a, b
 
 
+def key_body(lines: list[str], begin: int) -> range:
+    """Indexes of the body lines of the key block that begins on line ``begin``.
+
+    They reach up to the END line, whatever the lines between look like; where the text ends or another block begins before
+    that, as far as the lines have the form of a body.
+    """
+    if "-----END" in lines[begin]:
+        return range(0)
+    shaped = True
+    to = begin + 1
+    for j in range(begin + 1, len(lines)):
+        if "-----END" in lines[j]:
+            return range(begin + 1, j)
+        if "-----BEGIN" in lines[j]:
+            break
+        shaped = shaped and (_B64.match(lines[j]) or _BODY.fullmatch(lines[j])) is not None
+        to = j + 1 if shaped else to
+    return range(begin + 1, to)
+
+
 def logical_lines(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
     """(index of the first line, lines) of each line together with those that continue it (8 at most)."""
     i = 0
@@ -286,6 +310,17 @@ def logical_lines(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
         i = j + 1
 
 
+def _carried(tokens: list[str], labels: str) -> str:
+    """The labels with I on every literal that is joined to a part of a credential: no part of a value is open text."""
+    out, last = list(labels), -1
+    for i, y in enumerate(labels):
+        if y != "O" or len(tokens[i]) > 1 or tokens[i].isalnum():
+            if y == "O" and last >= 0 and i - last < 8 and _BETWEEN.fullmatch("".join(tokens[last + 1 : i])):
+                out[i] = "I"
+            last = i if out[i] != "O" else -1
+    return "".join(out)
+
+
 CONFIG_FILE = re.compile(r"(?i)\.(?:env|ini|cfg|conf|config|properties|toml|ya?ml|json|xml|tf|tfvars|npmrc|pypirc|netrc|pem|key|txt|sql|sh)(?:\.|$)|/\.env|dockerfile|secrets?\b|appsettings|/\.\w+rc$")
 
 
@@ -316,12 +351,13 @@ def credential_spans(text: str, path: str | None = None, field: Field | None = N
             end = m.end()
         above = "-"
         if at:
-            up = [t for t in TOKEN.findall(lines[at - 1][:300]) if t[0].isalnum() or t[0] == "_"]
+            up = [t for t in TOKEN.findall(lines[at - 1]) if t[0].isalnum() or t[0] == "_"]
             above = name_class(up[-1]) if up else "-"
         body = at + len(group) < len(lines) and bool(_B64.match(lines[at + len(group)])) or len(group) > 1 and bool(_B64.match(group[-1])) or "\\n" in joint
         labels = field.viterbi(features(toks, gaps, above, config, body))
         if "B" not in labels:
             continue
+        labels = _carried(toks, labels)
         starts = [0]
         for x in group:
             starts.append(starts[-1] + len(x) + 1)
@@ -333,11 +369,12 @@ def credential_spans(text: str, path: str | None = None, field: Field | None = N
             k = int(np.searchsorted(starts, a, side="right")) - 1
             out.append((at + k + 1, a - starts[k], b - starts[k], y == "B"))
             if t.startswith("-----BEGIN"):
-                for j in range(at + k + 1, len(lines)):
-                    stop = "-----END" in lines[j]
-                    if stop or not _B64.match(lines[j]):
-                        break
-                    out.append((j + 1, len(lines[j]) - len(lines[j].lstrip(" \t#/*\"'+")), len(lines[j].rstrip(" \t\r\"'+;\\")), False))
+                for j in key_body(lines, at + k):
+                    x = lines[j]
+                    plain = re.fullmatch(r"\s*[A-Za-z0-9+/=]+\s*", x) is not None  # a leading + or / belongs to the key
+                    first, last = len(x) - len(x.lstrip(None if plain else " \t#/*\"'+")), len(x.rstrip(None if plain else " \t\r\"'+;\\"))
+                    if first < last:
+                        out.append((j + 1, first, last, False))
     return out
 
 
