@@ -224,6 +224,53 @@ def test_function_docs_join_declarations(spark):
     assert {(r.tbl, r.record_id, r.function_name, r.source) for r in out} == {("code_chunks", 2, "count", "declaration"), ("code_chunks", 4, "f", "own"), ("code_symbols", 9, "close", "own")}
 
 
+def test_out_of_line_definitions_take_the_declaration(spark):
+    head = """namespace ns {
+class Q {
+ public:
+  // Returns the number of rows that are still open.
+  int count(int a) const;
+  /* Gives the label that is printed above every page. */
+  std::string name();
+  // Builds the queue from what the last run left behind.
+  explicit Q(int a);
+  // Never called from outside but kept for older readers.
+  static std::map<int, std::vector<int>> &table(const char *key, int (*cb)(int));
+  // Tells whether both queues hold the same rows inside.
+  bool operator==(const Q &other) const;
+};
+}
+// Adds up the bytes which every open file has taken.
+unsigned long used(void);
+"""
+    code = """int ns::Q::count(int a) const {
+  return f(a);
+}
+std::string Q::name() {
+  if (a) {
+  }
+}
+Q::Q(int a)
+    : a_(a) {
+}
+std::map<int, std::vector<int>> &Q::table(const char *key, int (*cb)(int)) {
+}
+bool Q::operator==(const Q &other) const { return g(1); }
+unsigned long
+used(void)
+{
+}
+using namespace ns;
+"""
+    rows = [(1, "/r", "q.h", "c", "block", head, "q"), (2, "/r", "q.cc", "cpp", "block", code, "q"), (3, "/r", "s.c", "c", "block", "/* Joins two lists and frees the shorter one. */\nstatic struct list *\njoin_lists(struct list *a)\n{\n}\n", "q")]
+    c = spark.createDataFrame(rows, "id bigint, repo_path string, file_path string, language string, chunk_type string, chunk_content string, tbl string")
+    out = {(r.record_id, r.qualified_name, r.signature, r.source) for r in function_docs.function_docs(function_docs.chunk_symbols(c)).collect()}
+    assert out == {
+        (2, "Q.count", "a", "declaration"), (2, "Q.name", "", "declaration"), (2, "Q.Q", "a", "declaration"), (2, "Q.table", "key,cb", "declaration"), (2, "Q.operator==", "other", "declaration"), (2, "used", "", "declaration"),
+        (3, "join_lists", "a", "own"),
+    }
+
+
 # --- p6
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(2)
