@@ -271,6 +271,19 @@ using namespace ns;
     }
 
 
+def test_documented_functions_of_any_length():
+    args = ",\n".join(f"    p{k}" for k in range(60))
+    doc = "Opens every window of the house at noon."
+    py = f'def f(\n{args},\n):\n    """{doc}"""\n'
+    js = f"/** {doc} */\nfunction f(\n{args}\n) {{\n}}\n"
+    java = f"class A {{\n  /** {doc} */\n  void f(\n" + args.replace("    p", "    int p") + "\n  ) {\n  }\n}\n"
+    decorated = f"# {doc}\n@g(\n{args},\n)\ndef f(a):\n    pass\n"
+    block = f"/*\n * {doc}\n" + " *\n" * 600 + " */\nfunction f(a) {\n}\n"
+    wide = f"/** {doc} */\nfunction f(a) {{ return [" + "1, " * 3000 + "1]; }\n"
+    for text, lang in ((py, "py"), (js, "js"), (java, "java"), (decorated, "py"), (block, "js"), (wide, "js")):
+        assert [(x[0], x[4]) for x in function_docs.functions(text, lang) if x[5]] == [("f", doc)]
+
+
 # --- p6
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(2)
