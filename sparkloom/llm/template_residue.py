@@ -8,8 +8,8 @@ null values) is constant text. Fills count where their context is an induced slo
 (a delimited name in running text, a line that is nothing but a stand-in).
 
 Whole pages are reduced to a skeleton (numbers, hashes, paths and names masked, navigation and footers dropped). A page
-is an error page if it has nothing but short lines and one of them says so; weak wording counts only when the
-skeleton recurs in several records.
+is an error page if its wording says so once those lines are dropped, whatever its length (``says_error``); all other pages
+count only when the skeleton recurs in several records with different texts.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ STRONG = re.compile(
     re.IGNORECASE,
 )
 WEAK = re.compile(r"\b(?:error|denied|expired|missing|unavailable|blocked|forbidden|login|disabled|maintenance|wartung|fehler|erreur|fallo|erro|gone|offline|redirect(?:ing)?|loading|please wait|einen moment|patientez)\b", re.IGNORECASE)
+BARRIER = re.compile(r"\b(?:cookies?|consent|privacy|partners|preferences|vendors|legitimate interests?|personal data|withdraw|third parties|advertising|log ?in|sign ?in|javascript|browser|robot|captcha|permission|administrator|exception|stack ?trace|not found|no longer|try again|refresh)\b", re.IGNORECASE)
 
 EVIDENCE = "doc_id bigint, what string, sure boolean, context bigint, fill bigint, line int"
 
@@ -111,26 +112,37 @@ def _context(line: str, a: int, b: int) -> int:
 
 def page_skeleton(lines: list[str]) -> tuple[str, list[str]]:
     """The page without navigation, footers and stack frames, and its skeleton with names and numbers masked."""
-    core = [x.strip() for x in lines if x.strip() and not NAV.match(x) and not STACK.match(x)]
+    core = [x.strip().lstrip("#").lstrip() or "#" for x in lines if x.strip() and not NAV.match(x) and not STACK.match(x)]
     masked = [re.sub(r"[\w-]*\d[\w-]*|(?<!\w)/[\w/.-]+|[\w-]+(?:\.[\w-]+)+", "9", x).lower() for x in core]
     return "\n".join(masked), core
 
 
+def says_error(core: list[str], heading: bool) -> bool:
+    """Whether the wording alone makes a page an error or barrier page, of whatever length.
+
+    A short page of short sentences says so anywhere (in its title if it has a heading); any other page in its title, and at
+    least half of its sentences speak of it.
+    """
+    parts = [s for x in core for s in (re.split(r"(?<=[.!?])\s+", x) if not x.startswith("{") else [x])]
+    title = STRONG.search(parts[0]) is not None
+    if (title or not heading) and sum(len(x.split()) for x in core) <= 60 and all(len(s.split()) <= 13 for s in parts):
+        return any(STRONG.search(s) for s in parts)
+    if not title or len(parts[0].split()) > 13 or len(parts) < 2:
+        return False
+    return 2 * sum(bool(STRONG.search(s) or WEAK.search(s) or BARRIER.search(s)) for s in parts) >= len(parts)
+
+
 def inspect(text: str, listing: bool) -> Iterator[tuple[str, bool, int, int, int]]:
     """(what, sure, context, fill, line number) for every sign in one text."""
     lines = text.replace("\r\n", "\n").lstrip("\ufeff").split("\n")
     listing = listing and sum(bool(_CODE.search(x)) for x in lines) >= 0.3 * sum(bool(x.strip()) for x in lines)
-    words = 0 if len(text) > 3000 else len(text.split())
-    if 0 < words <= 160 and not listing and not any(x.startswith("# ") for x in lines):
+    if not listing:
         skeleton, core = page_skeleton(lines)
-        if core and sum(len(x.split()) for x in core) <= 60:
-            # the sentences of an error page are short
-            parts = [s for x in core for s in (re.split(r"(?<=[.!?])\s+", x) if not x.startswith("{") else [x])]
-            if all(len(s.split()) <= 13 for s in parts):
-                if any(STRONG.search(s) for s in parts):
-                    yield "error_page", True, _h(skeleton), 0, 1
-                elif len(core) <= 4 and (sum(len(s.split()) for s in parts) <= 25 or any(WEAK.search(s) for s in parts)):
-                    yield "error_page", False, _h("page\n" + skeleton), _h(text), 1
+        if core:
+            if says_error(core, any(x.startswith("# ") for x in lines)):
+                yield "error_page", True, _h(skeleton), 0, 1
+            else:
+                yield "error_page", False, _h("page\n" + skeleton), _h(" ".join(text.lstrip("\ufeff").split())), 1
     fence, block = False, False
     for no, line in enumerate(lines, 1):
         if _FENCE.match(line):

@@ -392,3 +392,13 @@ def test_template_residue(spark):
     assert {r.doc_id for r in template_residue.found_documents(res).collect()} == set(bad)
     assert {r.doc_id for r in template_residue.without_residue(df, res).collect()} == {*good, None}
     assert template_residue.template_residue(df.limit(0)).count() == 0
+
+
+def test_error_pages_of_any_length(spark):
+    frames = "\n".join(f"  at com.acme.app.Handler.step{k}(Handler.java:{k})" for k in range(120))
+    legal = " ".join(f"With your consent we and our {k} partners store cookies and process personal data for measurement, audience research and the development of services." for k in range(12))
+    template = "\n".join(f"Every reading room of house {{n}} stays shut on day {k} while the shelves are moved and the lamps are cleaned by the staff." for k in range(15))
+    bad = {1: "Internal server error\n" + frames, 2: "We use cookies\n" + legal, 3: "# 404 Not Found\n\nThe page you asked for does not exist.", **{10 + k: template.replace("{n}", str(k)) for k in range(3)}}
+    good = {20: "# Reading rooms\n\n" + template.replace("{n}", "one"), 21: "# T\n\n" + "The client answers a missing page with its own page and writes the path to the log. " * 30, 22: "x y z. " * 200, 23: "x y z. " * 200 + "\n", 24: "x y z. " * 200 + " "}
+    df = spark.createDataFrame([(k, v, "guide") for k, v in {**bad, **good}.items()], "doc_id bigint, text string, kind string")
+    assert {r.doc_id for r in template_residue.found_documents(template_residue.template_residue(df)).collect()} == set(bad)
