@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,29 @@ def says_error(core: list[str], heading: bool) -> bool:
     return 2 * sum(bool(STRONG.search(s) or WEAK.search(s) or BARRIER.search(s)) for s in parts) >= len(parts)
 
 
+def filler(content: str) -> bool:
+    """Whether a line, one of its sentences or any twelve words in a row are mostly filler."""
+    words = [x.strip(".,;:!?").lower() for x in content.split()]
+    if len(words) < 6:
+        return False
+    latin = [len(x) > 2 and _LATIN.fullmatch(x) is not None for x in words]
+    if sum(latin) < 4:
+        return False
+    n = len(content[:160].split())
+    if n >= 6 and sum(latin[:n]) >= 0.55 * n:
+        return True
+    upto = [0, *accumulate(latin)]
+    if any(upto[k + 12] - upto[k] >= 7 for k in range(len(words) - 11)):
+        return True
+    at = 0
+    for k, x in enumerate(content.split(), 1):
+        if x[-1] in ".!?" or k == len(words):
+            if k - at >= 6 and upto[k] - upto[at] >= 0.55 * (k - at):
+                return True
+            at = k
+    return False
+
+
 def inspect(text: str, listing: bool) -> Iterator[tuple[str, bool, int, int, int]]:
     """(what, sure, context, fill, line number) for every sign in one text."""
     lines = text.replace("\r\n", "\n").lstrip("\ufeff").split("\n")
@@ -164,8 +188,7 @@ def inspect(text: str, listing: bool) -> Iterator[tuple[str, bool, int, int, int
             if not (bare[0] in "#*" and _CODE.search(nxt) and not nxt.startswith("#")):
                 yield "stand_in", True, 0, 0, no
                 continue
-        w = [x.strip(".,;:!?").lower() for x in content[:160].split()]
-        if len(w) >= 6 and sum(len(x) > 2 and _LATIN.fullmatch(x) is not None for x in w) >= 0.55 * len(w):
+        if filler(content):
             yield "filler", True, 0, 0, no
             continue
         if not _QUICK.search(line):

@@ -402,3 +402,11 @@ def test_error_pages_of_any_length(spark):
     good = {20: "# Reading rooms\n\n" + template.replace("{n}", "one"), 21: "# T\n\n" + "The client answers a missing page with its own page and writes the path to the log. " * 30, 22: "x y z. " * 200, 23: "x y z. " * 200 + "\n", 24: "x y z. " * 200 + " "}
     df = spark.createDataFrame([(k, v, "guide") for k, v in {**bad, **good}.items()], "doc_id bigint, text string, kind string")
     assert {r.doc_id for r in template_residue.found_documents(template_residue.template_residue(df)).collect()} == set(bad)
+
+
+def test_filler_anywhere_in_a_line():
+    own = "The reader opens the file and hands every row to the writer which keeps them in order until the last one has been seen, and then closes both of them"
+    lorem = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua"
+    for line in (f"{own}. {lorem}.", f"{own} {lorem} {own}", f"{own}. {own}. Lorem ipsum dolor sit amet elit. {own}."):
+        assert [x[0] for x in template_residue.inspect(f"# A\n\n{line}\n", False) if x[1]] == ["filler"]
+    assert not [x for x in template_residue.inspect(f"# A\n\n{own}. A helper makes lorem ipsum. {own}.\n", False) if x[1]]
