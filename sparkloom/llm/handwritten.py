@@ -103,14 +103,51 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, cuts)
 
 
+_SIGNS = frozenset("/*#-;<%\"'")
+_COMMENT = re.compile(_LEAD)
+_LONG_STRING = re.compile(r"\"\"\"|\'\'\'|`")
+
+
+def _notices(lines: list[str]) -> tuple[bool, bool]:
+    """Whether comments of a text say that the file is generated or vendored.
+
+    A notice about the file stands in the comments on top, or in a comment at the left margin anywhere; indented comments
+    further down (stubs of methods) and lines within long strings speak of something else.
+    """
+    gen = ven = block = False
+    leading = True
+    for k, x in enumerate(lines):
+        s = x.lstrip()
+        if not s:
+            continue
+        if block:
+            block = "*/" not in s and "-->" not in s
+        elif s[0] in _SIGNS and _COMMENT.match(s):
+            if not leading and len(s) < len(x):
+                continue
+            block = s.startswith("/*") and "*/" not in s or s.startswith("<!--") and "-->" not in s
+        else:
+            leading = leading and s.startswith("<?")
+            continue
+        if s.startswith("/*"):
+            s = s.split("*/", 1)[0]
+        if not _MARK.search(s):
+            continue
+        g, v = GENERATED.match(s) is not None, VENDORED.match(s) is not None
+        if (g or v) and not leading:
+            marks = [m for y in lines[:k] if not _COMMENT.match(y) or y.lstrip()[0] in "\"'" for m in _LONG_STRING.findall(y)]
+            if any(marks.count(q) % 2 for q in set(marks)):
+                continue
+        gen, ven = gen or g, ven or v
+        if gen and ven:
+            break
+    return gen, ven
+
+
 def _forms(text: str) -> tuple[bool, bool, int, int, int, int]:
-    """Marker comments of a text (first lines only, as such headers stand on top), and its line forms."""
-    gen = ven = False
+    """Marker comments of a text, and its line forms."""
     lines = text.split("\n")
-    for x in lines[:25]:
-        if len(x) < 400 and _MARK.search(x):
-            gen = gen or GENERATED.match(x) is not None
-            ven = ven or VENDORED.match(x) is not None
+    gen, ven = _notices(lines)
     dense = tables = full = 0
     for x in lines:
         n = len(x)

@@ -410,3 +410,14 @@ def test_filler_anywhere_in_a_line():
     for line in (f"{own}. {lorem}.", f"{own} {lorem} {own}", f"{own}. {own}. Lorem ipsum dolor sit amet elit. {own}."):
         assert [x[0] for x in template_residue.inspect(f"# A\n\n{line}\n", False) if x[1]] == ["filler"]
     assert not [x for x in template_residue.inspect(f"# A\n\n{own}. A helper makes lorem ipsum. {own}.\n", False) if x[1]]
+
+
+def test_notices_are_read_by_form_not_by_line_number():
+    licence = "".join(f"// line {k} of the terms under which this is given\n" for k in range(40))
+    note = "// Code generated by toolgen v1.2. DO NOT EDIT."
+    code = "x = f(1);\n" * 40
+    own = lambda t: handwritten._forms(t)[:2]
+    assert own(licence + note + "\n" + code) == own(code + note + "\n" + code) == own("/*\n" + " * terms\n" * 40 + " * Code generated by toolgen v1.2. DO NOT EDIT.\n */\n" + code) == (True, False)
+    assert own(licence + "// Vendored from elsewhere\n" + code) == (False, True)
+    assert own(note + " " + "y" * 500 + "\n" + code) == (True, False)
+    assert own(code + "    // Auto-generated by editor: method stub\n" + code) == own("T = `\n" + code + note + "\n`\n") == (False, False)
