@@ -60,9 +60,15 @@ def spec_endpoints(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
 
 
 #: Forms of outgoing calls, by client style.
+_VERBS = "(?:get|post|put|patch|delete|head|options)"
 CALLS = {
-    "fetch": r"""\bfetch\(\s*['"`]([^'"`]+)""", "axios": r"""\baxios\.(?:get|post|put|delete|patch)\(\s*['"`]([^'"`]+)""", "requests": r"""\brequests\.(?:get|post|put|delete|patch)\(\s*['"]([^'"]+)""",
-    "http_get": r"""\bhttp\.(?:Get|Post|Head)\(\s*"([^"]+)""", "graphql": r"\b(?:useQuery|useMutation|gql)\b", "grpc": r"\bnew\s+\w+Client\(",
+    "fetch": r"""\bfetch\(\s*['"`]([^'"`]+)""", "axios": r"""(?i)\baxios\.""" + _VERBS + r"""\(\s*['"`]([^'"`]+)""", "axios_config": r"""(?i)\baxios\(\s*\{[^}]*\burl:\s*['"`]([^'"`]+)""",
+    "got": r"""\b(?:got|superagent|request)\(\s*['"`]([^'"`]+)""", "node_http": r"""\bhttps?\.(?:get|request)\(\s*['"`]([^'"`]+)""",
+    "requests": r"""(?i)\brequests\.""" + _VERBS + r"""\(\s*['"`]([^'"`]+)""", "httpx": r"""(?i)\bhttpx\.""" + _VERBS + r"""\(\s*['"`]([^'"`]+)""", "session": r"""(?i)\bsession\.""" + _VERBS + r"""\(\s*['"`]([^'"`]+)""",
+    "http_get": r"""\bhttp\.(?:Get|Post|Put|Patch|Delete|Head)\(\s*"([^"]+)""", "http_new_request": r"""\bhttp\.NewRequest\(\s*"[^"]+",\s*"([^"]+)""",
+    "java_client": r"""(?i)\b(?:httpClient|restTemplate)\.(?:get|post|put|patch|delete)\(\s*['"`]([^'"`]+)""", "reqwest": r"""\breqwest::(?:get|post|put|patch|delete)\(\s*"([^"]+)""",
+    "graphql": r"""\b(?:useQuery|useMutation|gql)\b(?:.*?\b(?:query|mutation)\s+(\w+))?""", "grpc": r"""\bnew\s+\w+Client\((?:\s*['"`]([^'"`]+:\d+)['"`])?""",
+    "grpc_stub": r"""\w_pb2_grpc\.\w+Stub\((?:\s*grpc\.insecure_channel\(\s*['"`]([^'"`]+))?""", "grpc_dial": r"""\bgrpc\.Dial\(\s*"([^"]+)""",
 }
 
 

@@ -241,3 +241,15 @@ def test_tools(spark):
     assert api.find_symbol_definition(cat, "a").count() > 0 and api.index_documentation(cat["documents"])["sections"].count() > 0
     with pytest.raises(ValueError, match="short"):
         api.search_codebase(cat, " ")
+
+
+def test_api_calls_of_every_style(spark):
+    want = {
+        "axios({ method: 'get', url: '/a' })": ("axios_config", "/a"), "axios.head('/h')": ("axios", "/h"), "got('/b')": ("got", "/b"), "superagent('/s')": ("got", "/s"), "https.get('https://c')": ("node_http", "https://c"),
+        "httpx.post('/d')": ("httpx", "/d"), "await session.get('/e')": ("session", "/e"), 'http.NewRequest("GET", "/f", nil)': ("http_new_request", "/f"), 'http.Put("/p")': ("http_get", "/p"), 'restTemplate.delete("/g")': ("java_client", "/g"),
+        'reqwest::get("/h2")': ("reqwest", "/h2"), "new UserClient('host:50051')": ("grpc", "host:50051"), "new OrderClient(x)": ("grpc", ""), "a_pb2_grpc.AStub(grpc.insecure_channel('h:1'))": ("grpc_stub", "h:1"), 'grpc.Dial("h:2")': ("grpc_dial", "h:2"),
+        "query: gql`query Items { id }`": ("graphql", "Items"), "useQuery(x)": ("graphql", ""), "requests.options('/o')": ("requests", "/o"), "budget('/no')": None,
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(want)], "id int, t string")
+    got = {r.id: (r.style, r.target) for r in decompose.api_calls(df, "id", "t").collect()}
+    assert [got.get(k) for k in range(len(want))] == list(want.values()) and decompose.api_calls(df, "id", "t").count() == len(want) - 1
