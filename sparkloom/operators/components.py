@@ -25,16 +25,16 @@ def _small_star(e: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u BIGINT, v BIGINT)`` -> ``(node BIGINT, component BIGINT)``; component is the smallest node.
 
     Each round is a few shuffles of at most the edge table; the number of rounds is logarithmic in the longest
     path. The state is written to the shared folder after every round, so lineage stays short. Nulls and
-    self-loops are dropped; nodes without an edge do not appear (join back and coalesce).
+    self-loops are dropped; nodes without an edge do not appear (join back and coalesce). The rounds go on to the fixed point.
     """
     e = materialise(edges.where("u is not null and v is not null and u <> v").distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         e = materialise(_small_star(_large_star(e).distinct()), "cc")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(now):
