@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import credentials, function_docs, handwritten, leakage, near_duplicates, packing, similar_vectors, splitting, template_residue
 from sparkloom.llm.credential_training import accuracy, dataset
@@ -336,9 +337,24 @@ def test_packing(spark):
         assert len([v for v in sizes.values() if sum(v)]) <= full * 1.03 + 2
         long = sorted((x.token_start, x.n_tokens) for x in out if x.doc_id == 1002 and x.n_tokens > 10)
         assert all(a + n == b for (a, n), (b, _) in zip(long, long[1:]))
+        again = packing.pack_documents(df.repartition(5), group_items=group).collect()
+        assert sorted(map(str, again)) == sorted(map(str, out))  # the same containers in every run
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_goes_on_while_it_gains(spark):
+    big = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', 700 + cast(id % 7 as int))").alias("text"))
+    out = packing.pack_documents(big, group_items=100)  # nothing combines but in pairs
+    assert out.count() == 2000 and out.agg(F.max("used")).first()[0] <= 2048
+
+
+def test_repeated_giant_rows_fill_containers_of_their_own(spark):
+    df = spark.createDataFrame([(None, prose(random.Random(1), 3000))] * 5, "doc_id bigint, text string")
+    out = packing.pack_documents(df, group_items=2).collect()
+    full = [x.container_id for x in out if x.n_tokens == 2048]
+    assert len(full) == len(set(full)) and len(out) % 5 == 0
+
+
 def test_tokenizer_pattern_splits_like_the_published_one():
     import regex
 
@@ -372,7 +388,7 @@ def test_leaks_against_brute_force(spark):
     assert all(x.matched_words >= 12 for x in out.collect())
     assert leakage.without_leaks(dd, out).count() == len([x for x in docs if x[0] not in {d for d, _ in want}])
     assert leakage.leaked_passages(dd, ii.limit(0)).count() == 0 and leakage.leaked_passages(dd.limit(0), ii).count() == 0
-    assert {(x.doc_id, x.item_id) for x in leakage.leaked_passages(dd, ii, max_item_words=40).collect()} == want
+    assert {(x.doc_id, x.item_id) for x in leakage.leaked_passages(dd, ii, block_words=40).collect()} == want
 
 
 # --- p9
