@@ -5,9 +5,9 @@ words and single signs, lower-cased, numbers alike; the hashes of all runs of ``
 ``WINDOW``, so any shared passage of ``GRAM + WINDOW - 1`` tokens has a fingerprint in common. A fingerprint that occurs in many
 repositories is common property; a file most of whose fingerprints are common property is a vendored copy. Repositories
 are counted after pairs (fingerprint, repository) have been made distinct, so a passage that stands in a third of all files
-is one row per repository.
+is one row per repository; the test of a file's own fingerprints is a join salted by file, so that no fingerprint, however common, is one task.
 
-Paths, markers and forms decide the other kinds. Markers count only in comments: a string that holds one belongs to a program that writes it.
+The fingerprints are asked first, of every file with at least one. Paths, markers and forms decide the other kinds, and the vendored files that recur nowhere in the collection. Markers count only in comments: a string that holds one belongs to a program that writes it.
 """
 
 from __future__ import annotations
@@ -196,19 +196,23 @@ def classify_files(
     text: str = "chunk_content",
     min_repos: int = 4,
     min_share: float = 0.8,
-    min_prints: int = 20,
+    salts: int = 8,
 ) -> DataFrame:
-    """``(file_id, kind)`` for every row of ``files``; kind is generated, minified, vendored, data, lock or null (hand-written).
+    """``(file_id, kind, evidence)`` for every row of ``files``; kind is generated, minified, vendored, data, lock or null (hand-written).
+
+    evidence says what showed it first: fingerprints, marker, path or form (null for hand-written files).
 
     A file's content is all chunks of its (repository, path), slashes at the end of the repository aside; each row of a
-    file stored repeatedly gets the same kind. A file without chunks is judged by its path alone. A vendored copy has at
-    least ``min_prints`` fingerprints, ``min_share`` of which occur in ``min_repos`` repositories. Prose files are hand-written
-    whatever they hold. Null paths give null kinds; empty texts have no forms.
+    file stored repeatedly gets the same kind. A file without chunks is judged by its path alone. A file is a vendored copy
+    if ``min_share`` of its fingerprints occur in ``min_repos`` repositories, unless a marker, path or form gives it another kind
+    besides. Prose files are hand-written whatever they hold. Null paths give null kinds; empty texts have no forms.
     """
     parsed = materialise(parse_chunks(chunks, repo, path, text), "files-parsed")
     each = parsed.select("repo", "file", F.explode("prints").alias("p")).distinct()
-    common = each.select("p", "repo").distinct().groupBy("p").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos).select("p", F.lit(1).alias("shared"))
-    share = each.select("file", "p").join(common, "p", "left").groupBy("file").agg(F.count("*").alias("prints"), F.count("shared").alias("shared"))
+    common = each.groupBy("p", "repo").agg(F.lit(1).alias("one")).groupBy("p").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos)
+    common = common.select("p", F.explode(F.expr(f"sequence(0, {salts - 1})")).alias("salt"), F.lit(1).alias("shared"))
+    salted = each.select("file", "p", F.pmod(F.xxhash64("file"), F.lit(salts)).cast("int").alias("salt"))
+    share = salted.join(common, ["p", "salt"], "left").groupBy("file").agg(F.count("*").alias("prints"), F.count("shared").alias("shared"))
     content = parsed.groupBy("file").agg(
         F.max("generated").alias("generated"), F.max("vendored").alias("vendored"), F.sum("chars").alias("chars"), F.sum("dense").alias("dense"),
         F.sum("code_lines").alias("code_lines"), F.sum("table_lines").alias("table_lines"),
@@ -216,16 +220,20 @@ def classify_files(
     keyed = keyed_files(files, file_id, repo, path)
     path_is = lambda rx: F.col("path").rlike(rx)
     yes = lambda c: F.coalesce(c, F.lit(False))
-    kind: Column = (
-        F.when(F.col("path").isNull() | path_is(PATH_PROSE), None)
-        .when(path_is(PATH_LOCK), "lock")
-        .when(yes(F.col("generated")) | path_is(PATH_GENERATED), "generated")
-        .when(path_is(PATH_VENDORED) | yes(F.col("vendored")), "vendored")
-        .when(path_is(PATH_MINIFIED) | yes(F.col("dense") >= 0.5 * F.col("chars")), "minified")
+    prose = F.col("path").isNull() | path_is(PATH_PROSE)
+    recurs = yes((F.col("prints") > 0) & (F.col("shared") >= min_share * F.col("prints")))
+    form: Column = (
+        F.when(yes(F.col("dense") >= 0.5 * F.col("chars")), "minified")
         .when(yes((F.col("table_lines") >= 0.6 * F.col("code_lines")) & (F.col("code_lines") > 0)) & ~path_is(r"(?i)\.(json|ya?ml|toml|ini|cfg|conf|env|properties|xml|tf|sql|csv|npmrc|pem|key|crt)$|(^|/)\.env"), "data")
-        .when(yes((F.col("prints") >= min_prints) & (F.col("shared") >= min_share * F.col("prints"))), "vendored")
     )
-    return keyed.join(content, "file", "left").join(share, "file", "left").select("file_id", kind.alias("kind"))
+    by_path = F.when(path_is(PATH_LOCK), "lock").when(path_is(PATH_GENERATED), "generated").when(path_is(PATH_VENDORED), "vendored").when(path_is(PATH_MINIFIED), "minified")
+    marker = F.when(yes(F.col("generated")), "generated").when(yes(F.col("vendored")), "vendored")
+    special = F.when(by_path == "lock", "lock").otherwise(F.coalesce(F.when(marker == "generated", marker), F.when(by_path == "generated", by_path), F.when(by_path == "vendored", by_path), marker, by_path, form))
+    evidence = F.when(recurs, "fingerprints").when(by_path == "lock", "path").when(marker.isNotNull(), "marker").when(by_path.isNotNull(), "path").when(form.isNotNull(), "form")
+    joined = keyed.join(content, "file", "left").join(share, "file", "left")
+    return joined.select(
+        "file_id", F.when(~prose, F.coalesce(special, F.when(recurs, "vendored"))).alias("kind"), F.when(~prose, evidence).alias("evidence")
+    )
 
 
 def keyed_files(files: DataFrame, file_id: str, repo: str, path: str) -> DataFrame:

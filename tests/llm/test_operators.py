@@ -114,9 +114,20 @@ def test_file_kinds(spark):
         got.setdefault(x.file_id, x.kind)
     assert len(rows) == len(files)
     assert got == {1: "generated", 2: None, 3: "vendored", 4: "minified", 5: "minified", 6: "lock", 7: "data", 10: "vendored", 11: "vendored", 12: "vendored", 13: "vendored", 20: None, 21: None, 22: None, 23: None}
+    by = {x.file_id: x.evidence for x in rows if x.kind}
+    assert {by[k] for k in (10, 11, 12, 13)} == {"fingerprints"} and (by[1], by[3], by[5], by[6]) == ("marker", "path", "form", "path")
     assert handwritten.not_handwritten(handwritten.classify_files(f.limit(0), c.limit(0))).count() == 0
 
 
+def test_small_and_mass_copies_are_vendored_by_fingerprints(spark):
+    r = random.Random(6)
+    small = " ".join(f"{r.choice(WORDS)}{k}" for k in range(40))  # a few fingerprints
+    rows = [(k, f"/r/{k % 5}", f"a/{k}.js", small) for k in range(400)] + [(1000 + k, f"/r/{k % 5}", f"b/{k}.js", prose(r, 40)) for k in range(400)]
+    c = spark.createDataFrame(rows, "id bigint, repo_path string, file_path string, chunk_content string")
+    out = handwritten.classify_files(c, c, salts=3)
+    assert {(x.file_id < 1000, x.kind, x.evidence) for x in out.collect()} == {(True, "vendored", "fingerprints"), (False, None, None)}
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_shared_window():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 2**63, 300).astype(np.uint64), r.integers(0, 2**63, 300).astype(np.uint64)
