@@ -1,16 +1,23 @@
 """Near-duplicate records: banded MinHash candidates, odd-sketch estimates, exact verification.
 
-Every text becomes the set of its distinct runs of three words. 128 MinHash values per set are used twice:
-groups of four form 32 band keys (candidates are texts sharing a key), and all 128 are folded into a 256-bit
-parity bitmap, the odd sketch. The XOR population count of two sketches estimates their similarity; a pair is
-dropped only when that estimate lies ``margin`` (about five standard errors) below the threshold, and every
-remaining pair is verified exactly on the shingle sets.
+Every text becomes the set of its distinct runs of three words. Its MinHash values are used twice: groups of ``rows`` form the
+``bands`` keys (texts sharing a key are candidates), and all of them are folded into a 256-bit parity bitmap, the odd
+sketch. The XOR population count of two sketches estimates their similarity; a pair is dropped only when that
+estimate lies ``margin`` (about five standard errors) below the threshold, and every remaining pair is verified exactly on the
+shingle sets.
 
-Texts with the same shingle set form one class. Only class representatives are banded and compared, so a
-text copied a million times is one row here. A band key with many different classes is cut into blocks, and
-blocks are paired; no task receives a whole bucket.
+Texts with the same shingle set form one class (a 64-bit key and the set's size, checked against a second, independent key).
+Only class representatives are banded and compared, so a text copied a million times is one row here.
 
-Recall of the banding for a pair of similarity s is 1-(1-s^4)^32: 0.99985 at 0.7, above 0.9999999 at 0.8.
+Keys shared by several classes carry size and sketch of each class, and pairs are compared where they meet: the join's condition is the
+size bound and the sketch estimate, so what leaves it are likely pairs. A bucket of more than ``block`` classes is refined: each class is
+given keys made of the bucket's key and the first two MinHash values of every other band, so unlike texts that share one boilerplate key part, and
+alike ones meet again with probability 1-(1-s^2)^(bands-1) (1-1e-11 at 0.7). What is still larger after that is cut into blocks, and blocks meet each other:
+no task receives a whole bucket.
+
+Recall of the banding for a pair of similarity s is 1-(1-s^rows)^bands: 1-5e-8 at 0.7 with 40 bands of 3 rows. ``exact=True``
+finds candidates by prefixes instead (the rarest shingles of each set, as many as a pair over the threshold must share
+one of) and drops nothing by the sketch: no pair can be lost.
 """
 
 from __future__ import annotations
@@ -21,69 +28,81 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.wordhash import U64, byte_batches, distinct_per_text, mix, shingles, word_hashes
 from sparkloom.operators.components import connected_components
 from sparkloom.session import materialise, widen
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 256
-SAMPLES = BANDS * ROWS
-SIGNATURE = "tbl string, id bigint, cls bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
+BANDS, ROWS, SKETCH_BITS = 40, 3, 256
+SIGNATURE = "tbl string, id bigint, cls bigint, chk bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
+SIDE = ["n", "s0", "s1", "s2", "s3"]
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
-    base = mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+def _constants(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    base = mix(np.arange(1, samples + 1, dtype=U64) * U64(0xA0761D6478BD642F))
     return base | U64(1), mix(base)
 
 
-def sketch_sets(s: np.ndarray, off: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class hashes, odd sketches (n x 4 words) and band keys (n x 32) of non-empty shingle sets."""
-    n = len(off) - 1
-    mult, add = _constants()
-    mins = np.empty((n, SAMPLES), dtype=U64)
-    for k in range(SAMPLES):
+def min_hashes(s: np.ndarray, off: np.ndarray, samples: int) -> np.ndarray:
+    mult, add = _constants(samples)
+    mins = np.empty((len(off) - 1, samples), dtype=U64)
+    for k in range(samples):
         mins[:, k] = np.minimum.reduceat(s * mult[k] + add[k], off[:-1])
-    cls = mix(np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), off[:-1]) ^ salt ^ np.diff(off).astype(U64))
-    pos = (mix(mins ^ mult) % U64(SKETCH_BITS)).astype(np.int64)
+    return mins
+
+
+def sketch_sets(s: np.ndarray, off: np.ndarray, salt: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class hashes, check hashes, odd sketches (n x 4 words) and band keys (n x bands) of non-empty shingle sets."""
+    n, samples = len(off) - 1, bands * rows
+    mins = min_hashes(s, off, samples)
+    size = np.diff(off).astype(U64)
+    cls = mix(np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), off[:-1]) ^ salt ^ size)
+    chk = mix(np.bitwise_xor.reduceat(mix(s + U64(0x2545F4914F6CDD1D)), off[:-1]) + salt)
+    pos = (mix(mins ^ _constants(samples)[0]) % U64(SKETCH_BITS)).astype(np.int64)
     bits = np.zeros((n, SKETCH_BITS), dtype=np.uint8)
-    np.add.at(bits, (np.repeat(np.arange(n), SAMPLES), pos.ravel()), 1)
+    np.add.at(bits, (np.repeat(np.arange(n), samples), pos.ravel()), 1)
     sketch = np.packbits(bits & 1, axis=1, bitorder="little").view(U64)
-    keys = np.zeros((n, BANDS), dtype=U64)
-    for r in range(ROWS):
-        keys = mix(keys * U64(0x9FB21C651E98DF25) + mins[:, r::ROWS] + U64(r))
-    return cls, sketch, mix(keys ^ salt[:, None] ^ (np.arange(BANDS, dtype=U64) << U64(40))[None, :])
+    keys = np.zeros((n, bands), dtype=U64)
+    for r in range(rows):
+        keys = mix(keys * U64(0x9FB21C651E98DF25) + mins[:, r::rows] + U64(r))
+    return cls, chk, sketch, mix(keys ^ salt[:, None] ^ (np.arange(bands, dtype=U64) << U64(40))[None, :])
+
 
+def _sets(texts: list[str | None], shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with at least ``min_words`` words, their distinct shingle hashes and offsets."""
+    h, off = word_hashes(texts)
+    s, so = distinct_per_text(*shingles(h, off, shingle))
+    keep = np.flatnonzero((np.diff(off) >= min_words) & (np.diff(so) > 0))
+    counts = np.diff(so)[keep]
+    own = np.concatenate([[0], np.cumsum(counts)])
+    return keep, s[np.repeat(so[:-1][keep] - own[:-1], counts) + np.arange(own[-1])], own
 
-def signatures(df: DataFrame, shingle: int, min_words: int) -> DataFrame:
+
+def signatures(df: DataFrame, shingle: int, min_words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``df(tbl, id, text)`` -> one signature row for each text with at least ``min_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tbl, ids, texts = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for lo, hi in byte_batches(texts):
-                h, off = word_hashes(texts[lo:hi])
-                s, so = distinct_per_text(*shingles(h, off, shingle))
-                keep = np.flatnonzero((np.diff(off) >= min_words) & (np.diff(so) > 0))
+                keep, s, own = _sets(texts[lo:hi], shingle, min_words)
                 if not len(keep):
                     continue
-                counts = np.diff(so)[keep]
-                own = np.concatenate([[0], np.cumsum(counts)])
-                s = s[np.repeat(so[:-1][keep] - own[:-1], counts) + np.arange(own[-1])]
                 names = [tbl[lo + i] or "" for i in keep]
                 known = {t: xxhash.xxh64_intdigest(t) for t in set(names)}
                 salt = mix(np.array([known[t] for t in names], dtype=U64))
-                cls, sketch, bands = sketch_sets(s, own, salt)
-                flat = pa.array(bands.view(np.int64).ravel())
+                cls, chk, sketch, keys = sketch_sets(s, own, salt, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names),
                         pa.array(ids[lo:hi][keep].astype(np.int64)),
                         pa.array(cls.view(np.int64)),
-                        pa.array(counts.astype(np.int32)),
+                        pa.array(chk.view(np.int64)),
+                        pa.array(np.diff(own).astype(np.int32)),
                         *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), flat),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel())),
                     ],
                     names=[c.split()[0] for c in SIGNATURE.split(", ")],
                 )
@@ -91,6 +110,22 @@ def signatures(df: DataFrame, shingle: int, min_words: int) -> DataFrame:
     return widen(df.where("id is not null and text is not null").select("tbl", "id", "text")).mapInArrow(run, SIGNATURE)
 
 
+def _halves(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``df(cls, text)`` -> ``(cls, halves)``: for every band the hash of its first two MinHash values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, texts = b.column(0), b.column(1).to_pylist()
+            for lo, hi in byte_batches(texts):
+                keep, s, own = _sets(texts[lo:hi], shingle, 0)
+                mins = min_hashes(s, own, bands * rows)
+                two = mix(mins[:, 0::rows] * U64(0x9FB21C651E98DF25) + mins[:, min(1, rows - 1) :: rows])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(two.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([cls.slice(lo, hi - lo).take(pa.array(keep)), flat], names=["cls", "halves"])
+
+    return df.select("cls", "text").mapInArrow(run, "cls bigint, halves array<bigint>")
+
+
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     """``df(cls, text)`` -> ``(cls, hashes array<bigint>)``, distinct per text."""
 
@@ -106,26 +141,38 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("cls", "text").mapInArrow(run, "cls bigint, hashes array<bigint>")
 
 
-def _pairs_in_buckets(bands: DataFrame, block: int) -> DataFrame:
-    """``bands(band, cls)`` -> distinct ``(a, b)`` sharing a band, a < b, a bucket cut into blocks of about ``block``."""
-    bands = bands.repartition("band")
-    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialise(
-        bands.join(sizes, "band").select(
-            "band", "cls", F.ceil(F.col("size") / block).cast("int").alias("parts")
-        ).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")),
-        "buckets",
-    )
-    left = shared.select("band", F.col("cls").alias("x"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
-    right = shared.select("band", F.col("cls").alias("y"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
+def _shared(keys: DataFrame) -> DataFrame:
+    """``keys(band, cls)`` -> the rows whose band has several classes, with its ``size``.
+
+    Counts are combined before the shuffle; the join's large side arrives by a plain exchange, which adaptive execution splits where one key is hot.
+    """
+    sizes = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    return keys.join(sizes, "band")
+
+
+def _pairs_in_buckets(shared: DataFrame, block: int, alike: Column) -> DataFrame:
+    """``shared(band, cls, size, n, s0..s3)`` -> distinct ``(a, b, na, nb)``, a < b, that share a band and are ``alike``, a bucket cut into blocks of about ``block``."""
+    cut = shared.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    side = lambda x: [F.col("cls").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in SIDE)]
+    left = cut.select("band", *side("x"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
+    right = cut.select("band", *side("y"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
     return (
         left.join(right, ["band", "i", "j"])
         .where("(i < j and x <> y) or (i = j and x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .where(alike)
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, x_n, y_n)").alias("na"), F.expr("if(x < y, y_n, x_n)").alias("nb"))
         .distinct()
     )
 
 
+def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """``sets(tbl, cls, n, hashes)`` -> ``(band, cls)``: of each set the rarest shingles, one of which any pair of that similarity must share."""
+    each = sets.select("tbl", "cls", "n", F.explode("hashes").alias("h"))
+    often = each.groupBy("tbl", "h").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["tbl", "h"]).withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("often", "h")))
+    return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.xxhash64("tbl", "h").alias("band"), "cls")
+
+
 def near_duplicates(
     df: DataFrame,
     threshold: float = 0.7,
@@ -133,6 +180,9 @@ def near_duplicates(
     min_words: int = 20,
     margin: float = 0.25,
     block: int = 512,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Find texts whose shingle sets have a Jaccard similarity of at least ``threshold``.
 
@@ -140,31 +190,36 @@ def near_duplicates(
     Returns ``(links, members)``: ``links(tbl, a, b, similarity)`` between different classes, a < b, and
     ``members(tbl, id, cls, rep)`` with one row per eligible row; rows with equal shingle sets share ``cls``, and
     ``rep`` is the smallest id of the class. Null ids and texts, and texts under ``min_words`` words, are never
-    members. Repeated rows are members of one class. Empty input gives two empty tables.
+    members. Repeated rows are members of one class. Empty input gives two empty tables. With ``exact`` no pair is lost by chance,
+    at the cost of a shuffle of all shingles.
     """
     df = df.select("tbl", "id", "text")
-    sig = materialise(signatures(df, shingle, min_words), "signatures")
+    sig = materialise(signatures(df, shingle, min_words, bands, rows), "signatures")
     reps = materialise(sig.groupBy("cls").agg(
-        F.min("tbl").alias("tbl"), F.min("id").alias("rep"), F.min("n").alias("n"),
+        F.min("tbl").alias("tbl"), F.min("id").alias("rep"), F.min("n").alias("n"), F.min("chk").alias("lo"), F.max("chk").alias("hi"),
         *(F.min(f"s{i}").alias(f"s{i}") for i in range(4)), F.first("bands").alias("bands"),
-    ), "classes")
-    cand = _pairs_in_buckets(reps.select("cls", F.explode("bands").alias("band")), block)
-    side = lambda x: reps.select(F.col("cls").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("tbl", "n", "s0", "s1", "s2", "s3")))
-    odd = sum((F.expr(f"bit_count(a_s{i} ^ b_s{i})") for i in range(1, 4)), F.expr("bit_count(a_s0 ^ b_s0)"))
-    full = SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - max(0.0, threshold - margin)) / SKETCH_BITS))
-    likely = materialise(
-        cand.join(side("a"), "a").join(side("b"), "b")
-        .where(F.col("a_tbl") == F.col("b_tbl"))
-        .where(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n"))
-        .where(odd <= full)
-        .select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.col("a_tbl").alias("tbl")),
-        "likely",
-    )
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    who = reps.join(wanted, "cls").select("cls", "tbl", F.col("rep").alias("id"))
-    sets = materialise(shingle_sets(df.join(who, ["tbl", "id"]).dropDuplicates(["cls"]), shingle), "sets")
+    ).withColumn("n", F.expr("if(lo <> hi, raise_error('two shingle sets have one class key'), n)")).drop("lo", "hi"), "classes")
+    text_of = lambda wanted: df.join(wanted.select("tbl", "cls", F.col("rep").alias("id")), ["tbl", "id"]).dropDuplicates(["cls"])
+    alike: Column = F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")
+    if exact:
+        full = materialise(shingle_sets(text_of(reps), shingle), "all-sets")
+        keys = _prefix_keys(full.join(reps.select("tbl", "cls", "n"), "cls"), threshold)
+    else:
+        odd = sum((F.expr(f"bit_count(x_s{i} ^ y_s{i})") for i in range(1, 4)), F.expr("bit_count(x_s0 ^ y_s0)"))
+        alike = alike & (odd <= SKETCH_BITS / 2 * (1 - math.exp(-4 * bands * rows * (1 - max(0.0, threshold - margin)) / SKETCH_BITS)))
+        keys = reps.select("cls", F.explode("bands").alias("band"))
+    side = reps.select("cls", *SIDE)
+    shared = materialise(_shared(keys).join(side, "cls"), "buckets")
+    if not exact and not shared.where(F.col("size") > block).isEmpty():
+        hot = shared.where(F.col("size") > block)
+        half = _halves(text_of(reps.join(hot.select("cls").distinct(), "cls", "left_semi")), shingle, bands, rows)
+        finer = hot.select("cls", "band").join(half, "cls").select("cls", F.col("band").alias("b"), F.posexplode("halves").alias("k", "half")).select("cls", F.xxhash64("b", "k", "half").alias("band"))
+        shared = materialise(shared.where(F.col("size") <= block).unionByName(_shared(finer).join(side, "cls")), "refined")
+    likely = materialise(_pairs_in_buckets(shared, block, alike), "likely")
+    wanted = reps.join(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    sets = materialise(shingle_sets(text_of(wanted), shingle).join(reps.select("cls", "tbl"), "cls"), "sets")
     links = (
-        likely.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        likely.join(sets.select(F.col("cls").alias("a"), "tbl", F.col("hashes").alias("ha")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
         .withColumn("both", F.size(F.array_intersect("ha", "hb")))
         .withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
@@ -175,17 +230,27 @@ def near_duplicates(
     return links, members
 
 
-def duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of rows: ``(tbl, id_a, id_b)``, id_a < id_b, links between classes and copies within a class."""
-    m = members.select("cls", "tbl", "id")
+def duplicate_pairs(links: DataFrame, members: DataFrame, block: int = 512) -> DataFrame:
+    """Every pair of rows: ``(tbl, id_a, id_b)``, id_a < id_b, links between classes and copies within a class.
+
+    This expands copies into pairs, as a list of all cases must; ``duplicate_groups`` is the form that stays small. A class with many
+    rows is cut into blocks of about ``block``, on either side of a link and within itself. Repeated ids count once.
+    """
+    m = members.select("cls", "tbl", "id").distinct()
+    parts = m.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    cut = m.join(parts, "cls").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    side = cut.join(linked, "cls", "left_semi")
+    grid = links.select("a", "b").join(parts.select(F.col("cls").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("cls").alias("b"), F.col("parts").alias("pb")), "b")
+    grid = grid.select("a", "b", F.explode(F.expr("sequence(0, pa - 1)")).alias("i"), "pb").select("a", "b", "i", F.explode(F.expr("sequence(0, pb - 1)")).alias("j"))
     across = (
-        links.select("a", "b")
-        .join(m.select(F.col("cls").alias("a"), "tbl", F.col("id").alias("x")), "a")
-        .join(m.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
+        grid.join(side.select(F.col("cls").alias("a"), F.col("part").alias("i"), "tbl", F.col("id").alias("x")), ["a", "i"])
+        .join(side.select(F.col("cls").alias("b"), F.col("part").alias("j"), F.col("id").alias("y")), ["b", "j"])
     )
-    many = members.where("id <> rep").select("cls").distinct()
-    copies = m.join(many, "cls", "left_semi")
-    inside = copies.select("cls", "tbl", F.col("id").alias("x")).join(copies.select("cls", F.col("id").alias("y")), "cls").where("x < y")
+    copies = cut.join(m.groupBy("cls").agg(F.count("*").alias("size")).where("size > 1").select("cls"), "cls", "left_semi")
+    left = copies.select("cls", "tbl", F.col("id").alias("x"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
+    right = copies.select("cls", F.col("id").alias("y"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
+    inside = left.join(right, ["cls", "i", "j"]).where("(i < j and x <> y) or (i = j and x < y)")
     both = across.select("tbl", "x", "y").unionByName(inside.select("tbl", "x", "y")).where("x <> y")
     return both.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 

@@ -317,9 +317,9 @@ def test_near_duplicates_against_brute_force(spark):
 
     g = [(t, i, grams(x)) for t, i, x, _ in rows if i is not None and grams(x)]
     want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for n, a in enumerate(g) for b in g[:n] if a[0] == b[0] and len(a[2] & b[2]) >= 0.7 * len(a[2] | b[2])}
-    for block in (512, 2):  # the second cuts every shared bucket into blocks
-        links, members = near_duplicates.near_duplicates(df, block=block)
-        assert {tuple(x) for x in near_duplicates.duplicate_pairs(links, members).collect()} == want
+    for block, exact in ((512, False), (2, False), (512, True)):  # the second refines and cuts every shared bucket
+        links, members = near_duplicates.near_duplicates(df, block=block, exact=exact)
+        assert {tuple(x) for x in near_duplicates.duplicate_pairs(links, members, block=3).collect()} == want
     groups = near_duplicates.duplicate_groups(links, members).collect()
     assert len(groups) == len(g) and {x.class_id for x in groups if x.id in (900, 901)} == {0}
     links, members = near_duplicates.near_duplicates(df.limit(0))
