@@ -421,6 +421,18 @@ def test_template_residue(spark):
     assert template_residue.template_residue(df.limit(0)).count() == 0
 
 
+def test_slots_are_induced_by_aligning_records(spark):
+    names = "amber basil cedar delta ember".split()
+    rows = [(k, f"# Note {k}\n\nOwner: {n}\n\n## Scope\n\nThe {n} part only.\n") for k, n in enumerate(names)]
+    rows += [(100, "# Note\n\nOwner: {{ owner }}\n\nText."), (101, "# Note\n\n## Scope\n\nTBD\n"), (102, "Colour of {{ lone }} paint."), (103, "# T\n\nThe field stays null until then."), (104, "# U\n\nThe field stays null until then.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bits in (1 << 24, 64):  # a full bitmap only sends more
+        got = {(x.doc_id, x.what, x.route) for x in template_residue.template_residue(df, kind=None, bitmap_bits=bits, salts=2).collect()}
+        assert got == {(100, "field", "slot"), (101, "stand_in", "slot"), (102, "field", "form")}
+    keys, values = template_residue.aligned_values(["Owner: a\nOwner: b", "x"], template_residue._bitmap(spark.createDataFrame([(int(template_residue.frame_keys([template_residue._frame("Owner: ${x}", 7, 11)])[0]),)], "context bigint"), 1 << 16))
+    assert len(set(keys.tolist())) == 1 and len(values) == 2
+
+
 def test_error_pages_of_any_length(spark):
     frames = "\n".join(f"  at com.acme.app.Handler.step{k}(Handler.java:{k})" for k in range(120))
     legal = " ".join(f"With your consent we and our {k} partners store cookies and process personal data for measurement, audience research and the development of services." for k in range(12))
