@@ -53,7 +53,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_pairs(spark, d).where("source = 'own'").select("tbl", "record_id", "function_name")
+    return p5_pairs(spark, d).select("tbl", "record_id", "function_name")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

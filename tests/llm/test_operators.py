@@ -220,7 +220,7 @@ CODE = {
 @pytest.mark.parametrize("path", CODE)
 def test_documented_functions(path):
     text, want = CODE[path]
-    assert {f[0] for f in function_docs.functions(text, function_docs.language_of(path, None)) if f[5]} == want
+    assert {f[0] for f in function_docs.functions(text, function_docs.language_of(path, None)) if f[6]} == want
 
 
 def test_function_docs_join_declarations(spark):
@@ -278,11 +278,26 @@ using namespace ns;
     c = spark.createDataFrame(rows, "id bigint, repo_path string, file_path string, language string, chunk_type string, chunk_content string, tbl string")
     out = {(r.record_id, r.qualified_name, r.signature, r.source) for r in function_docs.function_docs(function_docs.chunk_symbols(c)).collect()}
     assert out == {
-        (2, "Q.count", "a", "declaration"), (2, "Q.name", "", "declaration"), (2, "Q.Q", "a", "declaration"), (2, "Q.table", "key,cb", "declaration"), (2, "Q.operator==", "other", "declaration"), (2, "used", "", "declaration"),
-        (3, "join_lists", "a", "own"),
+        (2, "Q.count", "int", "declaration"), (2, "Q.name", "", "declaration"), (2, "Q.Q", "int", "declaration"), (2, "Q.table", "const char*,int(*)(int)", "declaration"), (2, "Q.operator==", "const Q&", "declaration"), (2, "used", "", "declaration"),
+        (3, "join_lists", "list*", "own"),
     }
 
 
+def test_overloads_bases_and_trivial_remarks(spark):
+    head = "class S {\n  // Gives the space that is inside the whole shape.\n  int area(int);\n  // Reads the width out of a line of text first.\n  int area(std::string line);\n  // Says how many corners there are in the shape.\n  unsigned int corners(unsigned int);\n};\n"
+    code = "int S::area(int w) { return 1; }\n// area\nint S::area(string l) { return 2; }\nunsigned int S::corners(unsigned int n) { return 3; }\nint S::other(int w) { return 4; }\n"
+    trait = "trait Shape {\n    /// Tells the space that is inside the shape.\n    fn area(&self, unit: u8) -> u8;\n}\n"
+    impl = "impl Shape for Box {\n    fn area(&self, unit: u8) -> u8 {\n    }\n}\nimpl Box {\n    fn new(unit: u8) {\n    }\n}\n"
+    java = "interface Reader {\n  /** Takes the next line off the file and keeps it. */\n  String next(int n);\n}\n"
+    own = "class FileReader implements Reader {\n  public String next(int count) {\n  }\n}\n"
+    rows = [(k, "/r", p, None, "block", t) for k, (p, t) in enumerate([("s.h", head), ("s.cc", code), ("a.rs", trait), ("b.rs", impl), ("R.java", java), ("F.java", own)])] + [(9, "/other", "s.cc", None, "block", code)]
+    c = spark.createDataFrame(rows, "id bigint, repo_path string, file_path string, language string, chunk_type string, chunk_content string")
+    out = sorted((r.record_id, r.qualified_name, r.signature, r.description.split()[0], r.source) for r in function_docs.function_docs(function_docs.chunk_symbols(c), salts=3).collect())
+    assert out == [
+        (1, "S.area", "int", "Gives", "declaration"), (1, "S.area", "string", "Reads", "declaration"), (1, "S.corners", "unsigned int", "Says", "declaration"), (3, "Box.area", "unit", "Tells", "declaration"), (5, "FileReader.next", "int", "Takes", "declaration"),
+    ]
+
+
 def test_documented_functions_of_any_length():
     args = ",\n".join(f"    p{k}" for k in range(60))
     doc = "Opens every window of the house at noon."
@@ -293,7 +308,7 @@ def test_documented_functions_of_any_length():
     block = f"/*\n * {doc}\n" + " *\n" * 600 + " */\nfunction f(a) {\n}\n"
     wide = f"/** {doc} */\nfunction f(a) {{ return [" + "1, " * 3000 + "1]; }\n"
     for text, lang in ((py, "py"), (js, "js"), (java, "java"), (decorated, "py"), (block, "js"), (wide, "js")):
-        assert [(x[0], x[4]) for x in function_docs.functions(text, lang) if x[5]] == [("f", doc)]
+        assert [(x[0], x[5]) for x in function_docs.functions(text, lang) if x[6]] == [("f", doc)]
 
 
 # --- p6
