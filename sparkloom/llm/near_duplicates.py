@@ -10,12 +10,12 @@ Texts with the same shingle set form one class (a 64-bit key and the set's size,
 Only class representatives are banded and compared, so a text copied a million times is one row here.
 
 Keys shared by several classes carry size and sketch of each class, and pairs are compared where they meet: the join's condition is the
-size bound and the sketch estimate, so what leaves it are likely pairs. A bucket of more than ``block`` classes is refined: each class is
-given keys made of the bucket's key and the first two MinHash values of every other band, so unlike texts that share one boilerplate key part, and
-alike ones meet again with probability 1-(1-s^2)^(bands-1) (1-1e-11 at 0.7). What is still larger after that is cut into blocks, and blocks meet each other:
-no task receives a whole bucket.
+size bound and the sketch estimate, so what leaves it are likely pairs. Hot keys, those of about ``hot`` classes and more, are known
+beforehand from a hashed sample of the classes and never meet in one task. They are refined: each class gets keys made of the hot
+key and the first two MinHash values of every band, so unlike texts that share one boilerplate key part, and
+alike ones meet again with probability 1-(1-s^2)^(bands-1) (1-8e-10 at 0.7). What is still large after that is cut into blocks, and blocks meet each other.
 
-Recall of the banding for a pair of similarity s is 1-(1-s^rows)^bands: 1-5e-8 at 0.7 with 40 bands of 3 rows. ``exact=True``
+Recall of the banding for a pair of similarity s is 1-(1-s^rows)^bands: 1-1.4e-6 at 0.7 with 32 bands of 3 rows. ``exact=True``
 finds candidates by prefixes instead (the rarest shingles of each set, as many as a pair over the threshold must share
 one of) and drops nothing by the sketch: no pair can be lost.
 """
@@ -35,7 +35,7 @@ from sparkloom.functions.wordhash import U64, byte_batches, distinct_per_text, m
 from sparkloom.operators.components import connected_components
 from sparkloom.session import materialise, widen
 
-BANDS, ROWS, SKETCH_BITS = 40, 3, 256
+BANDS, ROWS, SKETCH_BITS = 32, 3, 256
 SIGNATURE = "tbl string, id bigint, cls bigint, chk bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
 SIDE = ["n", "s0", "s1", "s2", "s3"]
 
@@ -141,28 +141,34 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("cls", "text").mapInArrow(run, "cls bigint, hashes array<bigint>")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
+def _hot_keys(reps: DataFrame, hot: int) -> DataFrame:
+    """``(band)``: keys that about ``hot`` classes or more share, counted on a hashed sample in which such a key is expected 64 times."""
+    rate = max(1, hot // 64)
+    few = reps.where(F.pmod(F.xxhash64("cls"), F.lit(rate)) == 0).select(F.explode("bands").alias("band"))
+    return few.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, hot // rate // 2)).select("band")
+
+
+def _shared(keys: DataFrame, spread: bool) -> DataFrame:
     """``keys(band, cls)`` -> the rows whose band has several classes, with its ``size``.
 
-    Counts are combined before the shuffle; the join's large side arrives by a plain exchange, which adaptive execution splits where one key is hot.
+    Without hot keys one exchange serves the count and the join. With ``spread`` counts are combined before their shuffle, and the
+    join's large side arrives by an exchange of its own, which adaptive execution splits where a key is hot.
     """
-    sizes = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    return keys.join(sizes, "band")
+    keys = keys if spread else keys.repartition("band")
+    return keys.join(keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
 
 
 def _pairs_in_buckets(shared: DataFrame, block: int, alike: Column) -> DataFrame:
-    """``shared(band, cls, size, n, s0..s3)`` -> distinct ``(a, b, na, nb)``, a < b, that share a band and are ``alike``, a bucket cut into blocks of about ``block``."""
-    cut = shared.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    """``shared(band, cls, size, n, s0..s3)`` -> distinct ``(a, b, na, nb)``, a < b, that share a band and are ``alike``; buckets of more than ``block`` are cut into blocks."""
     side = lambda x: [F.col("cls").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in SIDE)]
+    small = shared.where(F.col("size") <= block).repartition("band")
+    pairs = small.select("band", *side("x")).join(small.select("band", *side("y")), "band").where("x < y").where(alike)
+    cut = shared.where(F.col("size") > block).withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     left = cut.select("band", *side("x"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
     right = cut.select("band", *side("y"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
-    return (
-        left.join(right, ["band", "i", "j"])
-        .where("(i < j and x <> y) or (i = j and x < y)")
-        .where(alike)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, x_n, y_n)").alias("na"), F.expr("if(x < y, y_n, x_n)").alias("nb"))
-        .distinct()
-    )
+    across = left.join(right, ["band", "i", "j"]).where("(i < j and x <> y) or (i = j and x < y)").where(alike)
+    pick = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, x_n, y_n)").alias("na"), F.expr("if(x < y, y_n, x_n)").alias("nb")]
+    return pairs.select(*pick).unionByName(across.select(*pick)).distinct()
 
 
 def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
@@ -178,8 +184,9 @@ def near_duplicates(
     threshold: float = 0.7,
     shingle: int = 3,
     min_words: int = 20,
-    margin: float = 0.25,
+    margin: float = 0.3,
     block: int = 512,
+    hot: int = 4096,
     bands: int = BANDS,
     rows: int = ROWS,
     exact: bool = False,
@@ -209,12 +216,20 @@ def near_duplicates(
         alike = alike & (odd <= SKETCH_BITS / 2 * (1 - math.exp(-4 * bands * rows * (1 - max(0.0, threshold - margin)) / SKETCH_BITS)))
         keys = reps.select("cls", F.explode("bands").alias("band"))
     side = reps.select("cls", *SIDE)
-    shared = materialise(_shared(keys).join(side, "cls"), "buckets")
-    if not exact and not shared.where(F.col("size") > block).isEmpty():
-        hot = shared.where(F.col("size") > block)
-        half = _halves(text_of(reps.join(hot.select("cls").distinct(), "cls", "left_semi")), shingle, bands, rows)
-        finer = hot.select("cls", "band").join(half, "cls").select("cls", F.col("band").alias("b"), F.posexplode("halves").alias("k", "half")).select("cls", F.xxhash64("b", "k", "half").alias("band"))
-        shared = materialise(shared.where(F.col("size") <= block).unionByName(_shared(finer).join(side, "cls")), "refined")
+    if exact:
+        shared = _shared(keys, True)
+    else:
+        often = materialise(_hot_keys(reps, hot), "hot-keys")
+        some = often.count()
+        if some:
+            often = F.broadcast(often) if some <= 100_000 else often  # the size is known; beyond it the join is shuffled
+            mine = reps.join(keys.join(often, "band", "left_semi").select("cls").distinct(), "cls", "left_semi")
+            half = _halves(text_of(mine), shingle, bands, rows)
+            finer = keys.join(often, "band", "left_semi").select("cls", F.col("band").alias("b")).join(half, "cls").select("cls", "b", F.posexplode("halves").alias("k", "half"))
+            shared = _shared(keys.join(often, "band", "left_anti"), False).unionByName(_shared(finer.select("cls", F.xxhash64("b", "k", "half").alias("band")), True))
+        else:
+            shared = _shared(keys, False)
+    shared = materialise(shared.join(side, "cls"), "buckets")
     likely = materialise(_pairs_in_buckets(shared, block, alike), "likely")
     wanted = reps.join(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
     sets = materialise(shingle_sets(text_of(wanted), shingle).join(reps.select("cls", "tbl"), "cls"), "sets")
