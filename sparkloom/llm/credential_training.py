@@ -14,9 +14,9 @@ import string
 
 import numpy as np
 
-from sparkloom.llm.credentials import LABELS, TOKEN, WEIGHTS, Field, features, logical_lines, name_class
+from sparkloom.llm.credentials import LABELS, TOKEN, WEIGHTS, Field, features, logical_lines, name_class, tokens_of
 
-LINES, HELD_OUT, ROUNDS = 24_000, 2_000, 6
+LINES, HELD_OUT, ROUNDS = 28_000, 2_000, 7
 
 WORDS = (
     "account agent archive audit backup badge batch beacon billing bridge broker bucket buffer cache canvas carrier catalog channel cluster column crate cursor customer delta depot digest "
@@ -112,6 +112,22 @@ class Gen:
             ]
         )()
 
+    def signed(self) -> str:
+        """A password with signs that code uses too."""
+        w, s, n = self.pick(WORDS + ADJ), lambda: self.pick("&(),;@|?!#%$*+-"), str(self.r.randint(1, 2999))
+        return self.pick(
+            [
+                lambda: w.title() + s() + n + s(), lambda: f"{w.title()}({n}){self.pick('!?#&;')}", lambda: w + n + s() + self.pick(WORDS),
+                lambda: "".join(self.pick(string.ascii_letters + string.digits + "&(),;@|?!#%$*+-") for _ in range(self.r.randint(8, 16))) + self.pick(string.digits) + self.pick(string.ascii_uppercase),
+                lambda: w[0].upper() + w[1:].replace("o", "0").replace("e", "3") + s() + self.pick(string.digits),
+            ]
+        )()
+
+    def told(self) -> str:
+        """A text for readers about a secret."""
+        w = lambda: self.pick(WORDS + ADJ)
+        return self.pick([f"enter your {w()} password", f"the {w()} token is {w()}", f"invalid {w()} or {w()}", f"reset the {w()} of your {w()}", f"{w()} must not be empty", f"get{w().title()}({w()},{self.r.randint(1, 99)})", f"{w()}(a,b)", f"{w()},{w()},{w()}", f"{w()};{w()}", f"{w()}|{w()}", f"{w()}@{w()}.example", f"({w()},{w()})"])
+
     def secret(self, pw: bool) -> str:
         return self.password() if self.r.random() < (0.7 if pw else 0.12) else self.known() if self.r.random() < 0.5 else self.opaque()
 
@@ -197,6 +213,12 @@ class Gen:
 
     def positive(self) -> tuple[str, bool]:
         kind = self.r.random()
+        if kind < 0.04:
+            v = self.signed() if self.r.random() < 0.75 else " ".join(self.pick(WORDS) for _ in range(self.r.randint(3, 5)))
+            return self.assign(self.name(self.pick(PW_NAMES if " " in v or self.r.random() < 0.8 else SECRET_NAMES)), f'{self.q()}⟦{v}⟧{self.last}')
+        if kind < 0.07:
+            v = self.pick([self.opaque, self.password, self.known, lambda: self.chars(string.ascii_letters + string.digits + "+#%*-", 10, 24)])()
+            return f"{self.pick(['', '// ', '# ', '  '])}curl -u svc_{self.pick(WORDS)}:⟦{v}⟧ https://{self.pick(WORDS)}-{self.r.randint(1, 40)}.{self.pick(['prod', 'corp', 'lan'])}.example/{self.pick(WORDS)}", self.r.random() < 0.5
         if kind < 0.5:
             pw = self.r.random() < 0.5
             v = self.secret(pw)
@@ -246,6 +268,10 @@ class Gen:
     def negative(self) -> tuple[str, bool]:
         kind = self.r.random()
         any_secret = self.name(self.pick(PW_NAMES + SECRET_NAMES))
+        if kind < 0.03:
+            return self.assign(any_secret if self.r.random() < 0.6 else self.name(), f'{self.q()}{self.told()}{self.last}')
+        if kind < 0.05:
+            return self.assign(self.name(), f'{self.q()}{self.signed()}{self.last}')
         if kind < 0.3:
             return self.assign(any_secret, f'"{self.stand_in()}"')
         if kind < 0.5:
@@ -255,6 +281,9 @@ class Gen:
         if kind < 0.68:
             return self.assign(self.name(), f'"{self.public()}"')
         if kind < 0.72:
+            if self.r.random() < 0.5:  # a blob of data
+                blob = self.chars(string.ascii_letters + string.digits + "+/", 90, 400)
+                return self.pick([f'{self.name().upper()} = "{blob}"', f'export const {self.name().upper()} = "{blob}";', f'static final Object {self.name().upper()} = "{blob}";', f'  "{blob[:64]}" +', f'var {self.name()} = "{blob}=";']), False
             return self.assign(self.name(), self.pick([f'"data:image/png;base64,{self.opaque()}{self.opaque()}{self.opaque()}"', f'"{self.chars(string.ascii_letters + string.digits + "+/", 72)}" +', f'["{self.pick(ADJ)}_{self.pick(WORDS)}", {self.r.randint(1, 999)}, "{self.chars("0123456789abcdef", 10)}"],']))
         if kind < 0.8:
             fn = f"{self.pick(WORDS)}{self.pick(ADJ).title()}{self.pick(WORDS).title()}"
@@ -308,11 +337,11 @@ def sequence(line: str, config: bool) -> tuple[list[list[str]], str]:
     joint = "\n".join(group)
     off = sum(len(x) + 1 for x in lines[:at])
     toks, gaps, labels, end = [], [], [], 0
-    for m in TOKEN.finditer(joint):
-        toks.append(m.group(0))
-        gaps.append(m.start() > end)
-        end = m.end()
-        labels.append("B" if "B" in marks[off + m.start() : off + m.end()] else marks[off + m.start()])
+    for a, b in tokens_of(joint):
+        toks.append(joint[a:b])
+        gaps.append(a > end)
+        end = b
+        labels.append("B" if "B" in marks[off + a : off + b] else marks[off + a])
     up = [t for t in TOKEN.findall(lines[at - 1]) if t[0].isalnum() or t[0] == "_"] if at else []
     body = (at + len(group) < len(lines) and len(lines[at + len(group)].strip()) >= 16) or (len(group) > 1 and len(group[-1].strip()) >= 16)
     assert len(text) == len(marks)

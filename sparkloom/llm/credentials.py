@@ -1,10 +1,12 @@
 """Credentials in source code: a linear-chain conditional random field over lexical tokens.
 
-A chunk is read in logical lines (a line and those it is continued on). Lines that hold neither a secret's name, nor a
-known key format, nor an address with a login, nor a key block cannot carry a credential that could be told from any other literal
-and are passed over. All others are cut into tokens; shape and context features feed the field, and the Viterbi labels
+A chunk is read in logical lines (a line and those it is continued on). They are cut into tokens: a string literal is one token if it
+holds signs or is a phrase, words and signs are tokens of their own elsewhere. Shape and context features feed the field, and the Viterbi labels
 (B begins a credential, I continues it, O is anything else) say exactly which characters are redacted.
 
+Lines that hold neither a secret's name, nor a known key format, nor an address with a login, nor a key block are passed over, as
+nothing in them tells a credential from any other literal (``gate=False`` reads them too; the README has what that changes).
+
 The weights come from ``credential_training.py`` (generated, labelled lines; no data of the corpus) and lie beside this file.
 """
 
@@ -28,6 +30,35 @@ WEIGHTS = Path(__file__).with_name("credential_weights.json")
 
 _RUN = r"[A-Za-z0-9_+/.!#%*~^$\-]+"
 TOKEN = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|[A-Za-z][A-Za-z0-9+.\-]*://|" + _RUN + r"|[^\s]")
+_PIECE = re.compile(r"(?P<q>[\"'`])(?P<lit>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)|" + TOKEN.pattern)
+#: A literal that is one token: no white space, quotes or braces, at least one sign that would cut it, no address, scheme, wrapper or name=value.
+_ONE = re.compile(r"(?=[^\s]*[&(),;@|?\[\]:])(?![A-Za-z][\w.\-]*[:\[])(?![^\s]*\w=[^=])(?!\$\()[^\s\"'`\\<>{}]{6,80}")
+#: A name right before a literal that it is given; a phrase is one token only where the name is a password's.
+_GIVEN = re.compile(r"([A-Za-z_$][\w$-]*)[\"'`\])]*\s*(?::=|=>|[:=,])\s*$")
+_PHRASE = re.compile(r"[a-z]{2,}(?: [a-z]{2,}){2,7}")
+#: Words of sentences; a phrase that holds one speaks to a reader.
+_FUNCTION_WORDS = set("the a an of to in on for with your you is are be must should please enter invalid required not no and or this that from by at as it reset forgot wrong missing empty expired".split())
+
+
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    """Places of the tokens of a text."""
+    out = []
+    for m in _PIECE.finditer(text):
+        a, b = m.span()
+        if m.group("q") is None:
+            out.append((a, b))
+            continue
+        lit = m.group("lit")
+        out.append((a, a + 1))
+        name = _GIVEN.search(text, text.rfind("\n", 0, a) + 1, a) if " " in lit and _PHRASE.fullmatch(lit) else None
+        if _ONE.fullmatch(lit) or name and name_class(name.group(1)) == "pw":
+            out.append((a + 1, b - 1))
+        else:
+            out += [(a + 1 + x.start(), a + 1 + x.end()) for x in TOKEN.finditer(lit)]
+        out.append((b - 1, b))
+    return out
+
+
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: Prefixes and forms of published key formats.
@@ -96,6 +127,10 @@ def shape(w: str) -> str:
         return "p" + w
     if _PLACEHOLDER.search(w):
         return "placeholder"
+    if " " in w:
+        return "sentence" if _FUNCTION_WORDS & set(w.split()) else "phrase"
+    if re.fullmatch(r"[A-Za-z_$][\w.$]*\([^()]*\);?", w):
+        return "call"
     if KNOWN.match(w):
         return "known"
     if w[0] == "$" and re.match(r"\$(?:2[aby]?|1|5|6|argon2\w*|pbkdf2\w*|scrypt|apr1|y)\$", w):
@@ -300,12 +335,10 @@ def key_body(lines: list[str], begin: int) -> range:
 
 
 def logical_lines(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first line, lines) of each line together with those that continue it (8 at most)."""
+    """(index of the first line, lines) of each line together with those that continue it."""
     i = 0
     while i < len(lines):
-        j = i
-        while j + 1 < len(lines) and j - i < 7 and _joined(lines[j], lines[j + 1]):
-            j += 1
+        j = group_at(lines, i)[1]
         yield i, lines[i : j + 1]
         i = j + 1
 
@@ -324,34 +357,34 @@ def _carried(tokens: list[str], labels: str) -> str:
 CONFIG_FILE = re.compile(r"(?i)\.(?:env|ini|cfg|conf|config|properties|toml|ya?ml|json|xml|tf|tfvars|npmrc|pypirc|netrc|pem|key|txt|sql|sh)(?:\.|$)|/\.env|dockerfile|secrets?\b|appsettings|/\.\w+rc$")
 
 
-def credential_spans(text: str, path: str | None = None, field: Field | None = None) -> list[tuple[int, int, int, bool]]:
+def credential_spans(text: str, path: str | None = None, field: Field | None = None, gate: bool = True) -> list[tuple[int, int, int, bool]]:
     """(line from 1, start and end within the line, begins) of every literal part to redact.
 
-    A private key's body lines follow its BEGIN line up to the END line.
+    A private key's body lines follow its BEGIN line up to the END line. Without ``gate`` the field reads every line.
     """
     field = field or Field.load()
     config = bool(path and CONFIG_FILE.search(path))
     lines = text.split("\n")
     out: list[tuple[int, int, int, bool]] = []
     done = -1
-    for near in _candidates(text, lines):
+    for near in _candidates(text, lines) if gate else range(len(lines)):
         if near <= done or not _VALUE.search(lines[near]) and not _CONTINUED.search(lines[near]):
             continue
         at, done = group_at(lines, near)
         group = lines[at : done + 1]
         joint = "\n".join(group)
-        if not _VALUE.search(joint) or not _GATE.search(joint):
+        if not _VALUE.search(joint) or gate and not _GATE.search(joint):
             continue
         toks, gaps, place = [], [], []
         end = 0
-        for m in TOKEN.finditer(joint):
-            toks.append(m.group(0))
-            gaps.append(m.start() > end)
-            place.append(m.span())
-            end = m.end()
+        for a, b in tokens_of(joint):
+            toks.append(joint[a:b])
+            gaps.append(a > end)
+            place.append((a, b))
+            end = b
         above = "-"
         if at:
-            up = [t for t in TOKEN.findall(lines[at - 1]) if t[0].isalnum() or t[0] == "_"]
+            up = [t for t in TOKEN.findall(lines[at - 1]) if t[0].isalnum() or t[0] == "_"]  # of the whole line
             above = name_class(up[-1]) if up else "-"
         body = at + len(group) < len(lines) and bool(_B64.match(lines[at + len(group)])) or len(group) > 1 and bool(_B64.match(group[-1])) or "\\n" in joint
         labels = field.viterbi(features(toks, gaps, above, config, body))

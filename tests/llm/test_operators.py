@@ -54,6 +54,22 @@ def test_credentials_found_and_redacted():
     assert out.split("\n")[11].strip("*") == ""  # the key's body
 
 
+LITERALS = ["Tr0ub4dor&3", "Summer(2024)!", "correct horse battery", "a,b;C9$xx!", "Harbor|1506?x", "pa@ss,W0rd;9"]
+
+
+@pytest.mark.parametrize("value", LITERALS)
+@pytest.mark.parametrize("line", ['passwd: "{}"', "db_password = '{}'", 'const smtpPassword = "{}";', 'config.set("password", "{}")'])
+def test_literals_are_masked_to_their_quotes(value, line):
+    text = "x = 1\n" + line.format(value) + "\ny = 2\n"
+    spans = credentials.credential_spans(text, "config/app.yaml")
+    assert credentials.redact(text, spans) == text.replace(value, "*" * len(value)) and sum(s[3] for s in spans) == 1
+
+
+@pytest.mark.parametrize("line", ['password_label = "enter your new password"', 'title = "correct horse battery"', 'columns = "name,age,city"', 'token = "getToken(user,1)"'])
+def test_literals_that_are_no_secrets_stay(line):
+    assert credentials.credential_spans(line, "app.py") == []
+
+
 def test_credentials_table(spark):
     rows = [(1, CHUNK, "a.py", "x"), (2, None, "b.py", "x"), (3, "", None, "x"), (4, "x = 1\n" * 20000, "c.py", "x"), (1, CHUNK, None, "x"), (None, CHUNK, "d.py", "x")]
     df = spark.createDataFrame(rows, "id bigint, chunk_content string, file_path string, chunk_id string")
@@ -332,8 +348,8 @@ def test_near_duplicates_against_brute_force(spark):
 
     g = [(t, i, grams(x)) for t, i, x, _ in rows if i is not None and grams(x)]
     want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for n, a in enumerate(g) for b in g[:n] if a[0] == b[0] and len(a[2] & b[2]) >= 0.7 * len(a[2] | b[2])}
-    for block, exact in ((512, False), (2, False), (512, True)):  # the second refines and cuts every shared bucket
-        links, members = near_duplicates.near_duplicates(df, block=block, exact=exact)
+    for block, hot, exact in ((512, 4096, False), (2, 4096, False), (2, 2, False), (512, 2, True)):  # cuts every shared bucket, refines it too
+        links, members = near_duplicates.near_duplicates(df, block=block, hot=hot, exact=exact)
         assert {tuple(x) for x in near_duplicates.duplicate_pairs(links, members, block=3).collect()} == want
     groups = near_duplicates.duplicate_groups(links, members).collect()
     assert len(groups) == len(g) and {x.class_id for x in groups if x.id in (900, 901)} == {0}
