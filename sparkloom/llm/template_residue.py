@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -188,11 +189,18 @@ def _in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[((k >> U64(6)) & U64(len(bitmap) - 1)).astype(np.int64)] >> (k & U64(63))) & U64(1) == 1
 
 
+_MASKED = re.compile(r"(?<![\w-])[A-Za-z_\-\u0080-\uffff]*+(?:\d[\w-]*+|(?:\.[\w-]++)++)|(?<!\w)/[\w/.-]++")
+
+
+@lru_cache(maxsize=200_000)
+def _is_latin(word: str) -> bool:
+    return len(word) > 2 and _LATIN.fullmatch(word) is not None
+
+
 def page_skeleton(lines: list[str]) -> tuple[str, list[str]]:
     """The page without navigation, footers and stack frames, and its skeleton with names and numbers masked."""
     core = [x.strip().lstrip("#").lstrip() or "#" for x in lines if x.strip() and not NAV.match(x) and not STACK.match(x)]
-    masked = [re.sub(r"[\w-]*\d[\w-]*|(?<!\w)/[\w/.-]+|[\w-]+(?:\.[\w-]+)+", "9", x).lower() for x in core]
-    return "\n".join(masked), core
+    return _MASKED.sub("9", "\n".join(core)).lower(), core
 
 
 def says_error(core: list[str], heading: bool) -> bool:
@@ -215,7 +223,7 @@ def filler(content: str) -> bool:
     words = [x.strip(".,;:!?").lower() for x in content.split()]
     if len(words) < 6:
         return False
-    latin = [len(x) > 2 and _LATIN.fullmatch(x) is not None for x in words]
+    latin = [_is_latin(x) for x in words]
     if sum(latin) < 4:
         return False
     n = len(content[:160].split())
