@@ -163,18 +163,19 @@ def test_similar_vectors_against_brute_force(spark):
     rows = [(i, [float(x) for x in v[i].astype(np.float32)], "t") for i in range(1500)]
     rows += [(5000, None, "t"), (5001, [0.0] * 16, "t"), (5002, [1.0] * 15, "t"), (5003, [float("nan")] * 16, "t"), (5004, [None] * 16, "t"), (None, [1.0] * 16, "t")]
     df = spark.createDataFrame(rows, "id bigint, e array<float>, tbl string")
-    got = {}
-    for x in similar_vectors.similar_vectors({"t": (df, "id", "e")}, is_query="id % 5 = 0", k=10, dim=16, lists=16, probes=8, block=64, query_block=32).collect():
-        got.setdefault(x.id, []).append((x.rank, x.neighbor_id))
     u = v.astype(np.float32).astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    hit = 0
-    for i in range(0, 1500, 5):
-        c = np.round(u @ u[i], 6)
-        c[i] = -9
-        want = sorted(range(1500), key=lambda j: (-c[j], j))[:10]
-        hit += len(set(want) & {n for _, n in got[i]})
-    assert set(got) == set(range(0, 1500, 5)) and hit / 3000 >= 0.97
+    for exact in (False, True):
+        got = {}
+        for x in similar_vectors.similar_vectors({"t": (df, "id", "e")}, is_query="id % 5 = 0", k=10, dim=16, lists=16, probes=8, bits=128, block=64, query_block=32, exact=exact).collect():
+            got.setdefault(x.id, []).append((x.rank, x.neighbor_id))
+        hit = 0
+        for i in range(0, 1500, 5):
+            c = np.round(u @ u[i], 6)
+            c[i] = -9
+            want = sorted(range(1500), key=lambda j: (-c[j], j))[:10]
+            hit += len(set(want) & {n for _, n in got[i]})
+        assert set(got) == set(range(0, 1500, 5)) and hit / 3000 >= (1 if exact else 0.97)
 
 
 def test_similar_vectors_tiny_and_empty(spark):
@@ -185,12 +186,13 @@ def test_similar_vectors_tiny_and_empty(spark):
 
 def test_error_bounds_hold():
     r = np.random.default_rng(0)
-    x = r.standard_normal((4000, 64)).astype(np.float32)
-    q = r.standard_normal((40, 64)).astype(np.float32)
-    qi, ids, cos = similar_vectors.search_block(x, np.arange(4000), q, np.arange(10**6, 10**6 + 40), np.zeros(64, np.float32), 10)
-    u, w = similar_vectors._unit(x), similar_vectors._unit(q)
-    want = np.argsort(-(w @ u.T), axis=1)[:, :10]
-    assert sum(len(set(want[i]) & set(ids[qi == i])) for i in range(40)) >= 0.97 * 400
+    x, q = (similar_vectors._unit(r.standard_normal((n, 64))) for n in (4000, 40))
+    rot = similar_vectors.rotation(64, 256)
+    qi, ri, lower, upper = similar_vectors.bounds(*similar_vectors._codes(x.astype(np.float32), rot), np.arange(4000), q, np.arange(10**6, 10**6 + 40), np.full(40, -np.inf), np.zeros(64, np.float32), rot, 10, 1.9)
+    cos = np.einsum("ij,ij->i", q[qi], x[ri])
+    assert np.mean((lower <= cos) & (cos <= upper)) > 0.93
+    want = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert sum(len(set(want[i]) & set(ri[qi == i])) for i in range(40)) >= 0.97 * 400
 
 
 # --- p4
