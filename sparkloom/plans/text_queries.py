@@ -34,7 +34,7 @@ def path_parts(s: SparkSession, d: str) -> DataFrame:
 
 def complexity(s: SparkSession, d: str) -> DataFrame:
     t = F.col("chunk_content")
-    return load(s, d, "code_chunks").where("chunk_type = 'function'").select("id", T.complexity(t).alias("complexity"), T.has_loops(t).alias("loops"), T.has_async(t).alias("is_async"))
+    return load(s, d, "code_chunks").select("id", T.complexity(t).alias("complexity"), T.has_loops(t).alias("loops"), T.has_async(t).alias("is_async"))
 
 
 def minified_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -108,18 +108,18 @@ QUERIES = {
 _N = "len(string_split(chunk_content, chr(10)))"
 _CNT = lambda rx: f"len(regexp_extract_all(chunk_content, '{rx}'))"
 _LANG = "CASE " + " ".join(f"WHEN e = '{e}' THEN '{v}'" for e, v in T.LANGUAGES.items()) + " ELSE 'unknown' END"
-_W = "('function', 'class', 'const', 'let', 'var', 'import', 'export', 'return', 'async', 'await', 'def', 'public', 'private', 'interface', 'struct', 'fn')"
+_W = "('function', 'const', 'let', 'var', 'class', 'interface', 'type', 'import', 'export', 'return', 'async', 'await', 'def', 'public', 'private', 'static')"
 
 SQL = {
     "file_hash": "SELECT doc_id, sha256(text) AS file_hash, sha256(text)[1:16] AS cache_key FROM documents",
     "line_stats": f"SELECT chunk_type, sum(CASE WHEN length(chunk_content) = 0 THEN 0 ELSE {_N} END)::BIGINT AS lines, max(CASE WHEN length(chunk_content) = 0 THEN 0 ELSE {_N} END)::BIGINT AS longest, count(*) AS n FROM code_chunks GROUP BY 1",
     "token_estimate": "SELECT id, ceil(length(chunk_content) / 4.0)::BIGINT AS tokens, coalesce(ceil(length(chunk_content) / 4.0)::BIGINT <> token_count, true) AS stale FROM code_chunks",
     "path_parts": f"SELECT id, basename, regexp_replace(file_path, '/?[^/]*$', '') AS dirname, e AS ext, regexp_replace(basename, '\\.[^.]+$', '') AS stem, {_LANG} AS lang FROM (SELECT id, file_path, string_split(file_path, '/')[-1] AS basename, lower(regexp_extract(string_split(file_path, '/')[-1], '(\\.[^.]+)$', 1)) AS e FROM code_files)",
-    "complexity": "SELECT id, (1 + " + " + ".join(_CNT(x) for x in (r"\bif\b", r"\belse\b", r"\bwhile\b", r"\bfor\b", r"\bcase\b", r"\bcatch\b", "&&", r"\|\|", r"\?")) + ")::BIGINT AS complexity, regexp_matches(chunk_content, '\\b(for|while|do)\\b') AS loops, contains(chunk_content, 'async') AS is_async FROM code_chunks WHERE chunk_type = 'function'",
+    "complexity": "SELECT id, (1 + coalesce(" + " + ".join(_CNT(x) for x in (r"\bif\s*\(", r"\belse\b", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bcase\s+", r"\bcatch\s*\(", "&&", r"\|\|", r"\?")) + ", 0))::BIGINT AS complexity, regexp_matches(chunk_content, '\\b(for|while)\\s*\\(|\\bdo\\s*\\{|\\.(forEach|map|filter|reduce)\\(') AS loops, contains(chunk_content, 'async') AS is_async FROM code_chunks",
     "minified_chunks": "WITH l AS (SELECT id, chunk_content AS t, list_transform(string_split(chunk_content, chr(10)), lambda x: length(x)::DOUBLE) AS v FROM code_chunks) SELECT id, true AS minified FROM l WHERE len(v) >= 10 AND (len(list_filter(v, lambda x: x > 500)) > 5 OR list_sum(list_transform(v, lambda x: x * x)) / len(v) - (list_sum(v) / len(v)) ^ 2 < 10 OR len(regexp_extract_all(t, ' ')) / greatest(length(t), 1) < 0.05)",
-    "size_categories": "SELECT CASE WHEN total_lines < 1000 THEN 'normal' WHEN total_lines < 5000 THEN 'large' ELSE 'structure_only' END AS category, count(*) AS n FROM code_files GROUP BY 1",
+    "size_categories": "SELECT CASE WHEN total_lines < 1000 THEN 'small' WHEN total_lines < 5000 THEN 'large' ELSE 'very-large' END AS category, count(*) AS n FROM code_files GROUP BY 1",
     "url_paths": "SELECT repo_id, CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END AS path FROM (SELECT repo_id, regexp_replace(regexp_replace(git_remote_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') AS p FROM repositories WHERE git_remote_url IS NOT NULL)",
-    "query_type": f"WITH q AS (SELECT item_id, text, (SELECT count(*) FROM unnest({_W.replace('(', '[').replace(')', ']')}) u(w) WHERE contains(lower(text), w)) AS hits FROM eval_items), k AS (SELECT item_id, text, CASE WHEN hits >= 2 OR regexp_matches(text, '[{{}}();]|=>|==|::|->|&&|\\|\\|') OR len(regexp_extract_all(text, '[^A-Za-z0-9\\s]')) / length(text) > 0.1 THEN 'code_snippet' ELSE 'natural_language' END AS query_type FROM q) SELECT item_id, query_type, length(CASE WHEN query_type = 'natural_language' THEN regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+$', '') ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS length FROM k",
+    "query_type": f"WITH q AS (SELECT item_id, text, (SELECT count(*) FROM unnest({_W.replace('(', '[').replace(')', ']')}) u(w) WHERE contains(lower(text), w)) AS hits FROM eval_items), k AS (SELECT item_id, text, CASE WHEN hits >= 2 OR regexp_matches(text, '=>|===|!==|\\+\\+|--|&&|\\|\\||::') OR len(regexp_extract_all(text, '[{{}}()\\[\\]=<>]')) / length(text) > 0.1 THEN 'code_snippet' ELSE 'natural_language' END AS query_type FROM q) SELECT item_id, query_type, length(CASE WHEN query_type = 'natural_language' THEN regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+$', '') ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS length FROM k",
     "sanitized_queries": "SELECT item_id, trim(regexp_replace(regexp_replace(text, '[&|!():*<>]', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM eval_items",
     "heading_sections": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM documents), h AS (SELECT doc_id, length(regexp_extract(x, '^(#{1,6})[ \\t]+\\S', 1)) AS lv FROM l WHERE regexp_matches(x, '^#{1,6}[ \\t]+\\S')) SELECT doc_id, count(*) AS sections, min(lv) AS top_level, max(lv) AS deepest FROM h GROUP BY 1",
     "sliding_window_chunks": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, v, unnest(range(1, greatest(len(v) - 5, 1) + 1, 15)) AS start_line FROM l) SELECT doc_id, start_line, least(start_line + 19, len(v)) AS end_line, length(array_to_string(v[start_line:start_line + 19], chr(10))) AS chars FROM w",
