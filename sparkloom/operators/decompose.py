@@ -92,3 +92,27 @@ def truncated(df: DataFrame, key: str, text: str, head: int = 50, tail: int = 50
     lines = F.split(text, "\n")
     cut = F.concat_ws("\n", F.slice(lines, 1, head), F.lit(marker), F.slice(lines, -tail, tail))
     return df.select(key, F.when(F.size(lines) > head + tail, cut).otherwise(F.col(text)).alias("content"))
+
+
+def symbols_of_nodes(nodes: DataFrame) -> DataFrame:
+    """``(key, symbol_name, symbol_type, scope, parent, line_number)`` of parsed nodes that define something; exported ones have the scope exported, others internal."""
+    kinds = F.when(F.col("kind") == "method", "function").otherwise(F.col("kind"))
+    return nodes.where("name is not null and name <> '' and kind in ('function', 'method', 'class', 'variable', 'interface', 'type')").select(
+        "key", F.col("name").alias("symbol_name"), kinds.alias("symbol_type"), F.when(F.col("exported"), "exported").otherwise("internal").alias("scope"), "parent", F.col("start_line").alias("line_number")
+    )
+
+
+def chunk_metadata(df: DataFrame, nodes: DataFrame, imports: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, function_names, class_names, imports, exports, complexity, has_async, has_loops, has_conditionals)``: what is stored about each text beside it.
+
+    Names come from its parsed nodes, in the order of lines, import paths once each; a text without any has empty lists.
+    """
+    from sparkloom.functions import text as T
+
+    named = lambda cond: F.transform(F.array_sort(F.collect_set(F.when(cond, F.struct("start_line", "name")))), lambda x: x["name"])  # noqa: E731  # the nodes of one text
+    n = nodes.groupBy("key").agg(named(F.col("kind").isin("function", "method")).alias("function_names"), named(F.col("kind") == "class").alias("class_names"), named(F.col("exported")).alias("exports"))
+    i = imports.groupBy("key").agg(F.array_sort(F.collect_set("import_path")).alias("imports"))
+    none, c = F.array().cast("array<string>"), F.col(text)
+    base = df.select(F.col(key).alias("key"), T.complexity(c).alias("complexity"), T.has_async(c).alias("has_async"), T.has_loops(c).alias("has_loops"), T.has_conditionals(c).alias("has_conditionals"))
+    out = base.join(n, "key", "left").join(i, "key", "left")
+    return out.select("key", *[F.coalesce(x, none).alias(x) for x in ("function_names", "class_names", "imports", "exports")], "complexity", "has_async", "has_loops", "has_conditionals")

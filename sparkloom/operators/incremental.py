@@ -54,6 +54,44 @@ def delete_repository(tables: dict[str, DataFrame], repo_id: str) -> tuple[dict[
     return left, counts if counts is not None else spark.createDataFrame([], "table string, deleted bigint")
 
 
+#: Natural keys of the stored tables: what an upsert replaces and an insert ignores.
+KEYS = {
+    "repositories": ["repo_id"], "code_files": ["repo_path", "file_path"], "code_chunks": ["repo_path", "file_path", "chunk_type", "start_line", "end_line"], "code_symbols": ["repo_path", "symbol_name", "file_path", "line_number"],
+    "workspaces": ["workspace_id"], "workspace_aliases": ["repo_id", "alias_pattern"], "workspace_dependencies": ["source_workspace_id", "target_workspace_id"], "services": ["service_id"],
+    "cross_repo_dependencies": ["source_repo_id", "target_repo_id", "dependency_type"], "documentation_files": ["doc_id", "file_path"], "documentation_chunks": ["chunk_id"],
+}
+#: Tables whose rows of a known key stay as they are.
+INSERT_ONLY = ("code_chunks", "code_symbols", "workspace_aliases")
+
+
+def store(table: str, existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming`` put into a stored table by its natural key: upserted, or ignored where the key exists for insert-only tables."""
+    return insert_ignore(existing, incoming, KEYS[table]) if table in INSERT_ONLY else upsert(existing, incoming, KEYS[table])
+
+
+def clear_repository(tables: dict[str, DataFrame], repo_id: str) -> dict[str, DataFrame]:
+    """Every table without the repository's rows; tables of links lose the rows that have it on either side. Null ids stay."""
+    out = {}
+    for name, df in tables.items():
+        ends = [c for c in ("repo_id", "source_repo_id", "target_repo_id") if c in df.columns]
+        gone = F.lit(False)
+        for c in ends:
+            gone = gone | F.coalesce(F.col(c) == repo_id, F.lit(False))
+        out[name] = df.where(~gone)
+    return out
+
+
+def delete_by_path(tables: dict[str, DataFrame], repo_path: str) -> dict[str, DataFrame]:
+    """Tables without the rows of a repository path; a slash at the end makes no difference."""
+    return {n: df.where(F.col("repo_path").isNull() | (F.rtrim(F.col("repo_path"), F.lit("/")) != repo_path.rstrip("/"))) for n, df in tables.items()}
+
+
+def apply_changes(changes: DataFrame, *tables: DataFrame, keys: Sequence[str] = ("file_path",)) -> tuple[list[DataFrame], DataFrame]:
+    """The tables without the rows of modified and deleted files, and the files to index: new and modified ones."""
+    stale = changes.where("status in ('modified', 'deleted')")
+    return [delete_keys(t, stale, keys) for t in tables], changes.where("status in ('new', 'modified')")
+
+
 def reindex_decision(files: DataFrame, version: str | None = None, force: bool = False) -> DataFrame:
     """``(*, decision)`` per repository row with ``last_version`` and ``last_updated``: full, skip or incremental."""
     d = F.when(F.lit(force), "full").when(F.col("last_updated").isNull(), "full")
