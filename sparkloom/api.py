@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import fts
 from sparkloom.functions import text as T
 from sparkloom.operators import assembly, graph, incremental, lookups, retrieval
-from sparkloom.session import load_or_none
+from sparkloom.session import load_or_none, materialise
 from sparkloom.sources import files as source_files
 
 TABLES = "repositories workspaces services code_files code_chunks code_symbols documents".split()
@@ -81,16 +81,18 @@ def search_codebase(cat: Catalog, query: str, options: SearchOptions | None = No
         files = retrieval.hybrid_topk(f, "id", "summary_embedding", "file_summary", q, query, o.max_files, o.file_threshold, keep=keep)
     else:
         files = retrieval.vector_topk(f, "id", "summary_embedding", q, o.max_files, o.file_threshold, keep=keep).withColumn("score", F.col("similarity"))
+    files = materialise(files, "files")  # both lists are short, and every later part reads them
     inside = cat["code_chunks"].where("chunk_type <> 'file_summary'").join(F.broadcast(files.select("repo_path", "file_path").distinct()), ["repo_path", "file_path"], "left_semi")
     kept = (*keep, "chunk_type", "start_line", "end_line", "chunk_content", "metadata", "embedding")
     found = retrieval.hybrid_topk(inside, "id", "embedding", "chunk_content", q, query, o.max_snippets * 4, o.chunk_threshold, keep=kept)
+    found = materialise(found, "found")
     unique = assembly.greedy_dedup(found, "id", "embedding", "score", o.dedup_threshold).where("duplicate_of is null").select("id")
     chunks = found.drop("embedding").join(unique, "id", "left_semi")
     chunks = assembly.prioritise(chunks, cat["repositories"], "score").orderBy(F.desc("weighted"), "id").limit(o.max_snippets)
     symbols = lookups.resolve_symbols(cat["code_symbols"], lookups.symbols_of_chunks(chunks))
-    edges = graph.normalised_imports(cat["code_files"], lookups.parsed_imports(cat["code_files"], "repo_path", "file_path"))
-    tag = lambda c: F.concat_ws("\x1f", "repo_path", c)
-    imports = graph.import_chain(edges.select(tag("source").alias("source"), tag("target").alias("target")), files.orderBy(F.desc("score"), "id").limit(10).select(tag("file_path").alias("node")), o.import_depth) if o.import_depth else edges.limit(0)
+    chunks = materialise(chunks, "chunks")
+    starts = files.orderBy(F.desc("score"), "id").limit(10).select("repo_path", F.col("file_path").alias("node"))
+    imports = graph.expand_imports(cat["code_files"], starts, o.import_depth)
     return SearchResult(files, chunks, symbols, imports, assembly.search_warnings(files, chunks, T.token_estimate(F.col("chunk_content"))))
 
 

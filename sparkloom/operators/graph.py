@@ -72,6 +72,29 @@ def import_chain(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Dat
     return reduce(DataFrame.unionByName, out)
 
 
+def expand_imports(files: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """``(repo_path, from_file, to_file, depth, truncated)``: the import chain of ``starts(repo_path, node)``, resolved level by level.
+
+    Only the imports of the files on the frontier are parsed and resolved, so the work grows with the chain and not with the collection. Otherwise as ``import_chain``.
+    """
+    from sparkloom.operators.lookups import parsed_imports
+
+    seen = materialise(starts.select("repo_path", "node").where("node is not null").distinct(), "chain")
+    frontier, empty = seen, files.sparkSession.createDataFrame([], "repo_path string, from_file string, to_file string, depth int, truncated boolean")
+    out = [empty]
+    for d in range(1, max_depth + 1):
+        mine = files.join(frontier.withColumnRenamed("node", "file_path"), ["repo_path", "file_path"], "left_semi")
+        edges = normalised_imports(files, parsed_imports(mine, "repo_path", "file_path")).select("repo_path", F.col("source").alias("from_file"), F.col("target").alias("to_file")).distinct()
+        old = seen.select("repo_path", F.col("node").alias("to_file"), F.lit(True).alias("old"))
+        level = materialise(edges.join(old, ["repo_path", "to_file"], "left").select("repo_path", "from_file", "to_file", F.lit(d).alias("depth"), F.coalesce("old", F.lit(False)).alias("truncated")), "chain")
+        out.append(level)
+        frontier = level.where("not truncated").select("repo_path", F.col("to_file").alias("node")).distinct()
+        if frontier.isEmpty():
+            break
+        seen = materialise(seen.unionByName(frontier), "chain")
+    return reduce(DataFrame.unionByName, out)
+
+
 def boundary_chain(
     edges: DataFrame, files: DataFrame, starts: DataFrame, max_depth: int = 3, workspace_depth: int = 1, respect_workspace: bool = True, respect_service: bool = True
 ) -> DataFrame:

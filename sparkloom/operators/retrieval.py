@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fts
-from sparkloom.functions.vector import cosine, dot, l2, literal_vector
+from sparkloom.functions.vector import cosine_to, dot_to, l2_to
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT, KEYWORD_LEAST = 0.7, 0.3, 0.01
 
@@ -33,20 +33,20 @@ def exclude_types(df: DataFrame, column: str, types: Sequence[str], keep_null: b
 
 def vector_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int, threshold: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The ``k`` rows of highest cosine, ``(key, *keep, similarity)``; strictly above ``threshold`` if one is given."""
-    out = df.select(key, *keep, cosine(F.col(vector), literal_vector(query)).alias("similarity")).where(F.col("similarity").isNotNull())
+    out = df.select(key, *keep, cosine_to(vector, query).alias("similarity")).where(F.col("similarity").isNotNull())
     if threshold is not None:
         out = out.where(F.col("similarity") > threshold)
     return out.orderBy(F.desc("similarity"), key).limit(k)
 
 
 def l2_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
-    out = df.select(key, l2(F.col(vector), literal_vector(query)).alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    out = df.select(key, l2_to(vector, query).alias("distance")).where(F.col("distance").isNotNull())
     return out.orderBy("distance", key).limit(k)
 
 
 def inner_product_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
     n = len(query)
-    out = df.where(F.size(vector) == n).select(key, dot(F.col(vector), literal_vector(query)).alias("product")).where(~F.isnan("product"))
+    out = df.where(F.size(vector) == n).select(key, dot_to(vector, query).alias("product")).where(F.col("product").isNotNull())
     return out.orderBy(F.desc("product"), key).limit(k)
 
 
@@ -58,7 +58,7 @@ def hybrid_topk(
     A row without a usable vector scores by its keyword part; with ``parity`` its score is null and nulls come first.
     """
     terms = fts.query_terms(query_text)
-    sim = cosine(F.col(vector), literal_vector(query))
+    sim = cosine_to(vector, query)
     out = df.select(key, *keep, sim.alias("similarity"), fts.cover_density(F.col(text), terms).alias("keyword"))
     out = out.where((F.col("similarity") > threshold) | (F.col("keyword") > KEYWORD_LEAST))
     base = F.col("similarity") if parity else F.coalesce("similarity", F.lit(0.0))
@@ -75,7 +75,7 @@ def two_stage_topk(files: DataFrame, chunks: DataFrame, file_vector: str, chunk_
 
 def two_phase_rerank(df: DataFrame, key: str, vector: str, query: Sequence[float], coarse_dim: int, coarse_k: int, k: int) -> DataFrame:
     """Coarse top by the first ``coarse_dim`` elements, exact order of those."""
-    part = cosine(F.slice(vector, 1, coarse_dim), literal_vector(query[:coarse_dim]))
+    part = cosine_to(F.slice(vector, 1, coarse_dim), query[:coarse_dim])
     coarse = df.where(F.size(vector) == len(query)).select(key, vector, part.alias("__part")).where(F.col("__part").isNotNull()).orderBy(F.desc("__part"), key).limit(coarse_k)
     return vector_topk(coarse, key, vector, query, k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fts
-from sparkloom.functions.vector import cosine, literal_vector
+from sparkloom.functions.vector import cosine, cosine_to, l2_to, literal_vector
 from sparkloom.operators import retrieval as R
 from sparkloom.session import load
 
@@ -19,9 +19,7 @@ def _ok(v: str) -> str:
 
 def _query(df: DataFrame, key: str, vector: str) -> list[float]:
     """The vector of the smallest key with a usable one: the stand-in for a query's embedding."""
-    v = F.col(vector)
-    fine = (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return list(df.where(fine).orderBy(key).select(vector).first()[0])
+    return list(df.where(l2_to(vector, [0.0] * 64) > 0).orderBy(key).select(vector).first()[0])
 
 
 def _q(table: str, key: str, vector: str) -> str:
@@ -117,7 +115,7 @@ def two_phase_rerank(s: SparkSession, d: str) -> DataFrame:
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     c = load(s, d, "code_chunks")
     q = _query(c, "id", "embedding")
-    vec = c.select("id", cosine(F.col("embedding"), literal_vector(q)).alias("sim")).where("sim is not null")
+    vec = c.select("id", cosine_to("embedding", q).alias("sim")).where("sim is not null")
     kw = c.select("id", fts.cover_density(F.col("chunk_content"), ["token"]).alias("kw")).where("kw > 0")
     return R.rrf_fusion(kw, vec, "id", "kw", "sim").select("id", F.round("rrf_score", 8).alias("rrf_score"))
 

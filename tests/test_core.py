@@ -253,3 +253,121 @@ def test_api_calls_of_every_style(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(want)], "id int, t string")
     got = {r.id: (r.style, r.target) for r in decompose.api_calls(df, "id", "t").collect()}
     assert [got.get(k) for k in range(len(want))] == list(want.values()) and decompose.api_calls(df, "id", "t").count() == len(want) - 1
+
+
+def test_greedy_dedup_in_rounds_equals_the_fold(spark):
+    import numpy as np
+
+    from sparkloom.operators import assembly
+
+    r = np.random.default_rng(4)
+    base = r.standard_normal((12, 8))
+    rows = [(i, [float(x) for x in base[r.integers(0, 12)] + 0.35 * r.standard_normal(8)], float(r.integers(0, 9))) for i in range(150)] + [(900, None, 5.0), (901, [0.0] * 8, 5.0), (902, [1.0] * 5, 5.0)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, score double")
+    one = {tuple(x) for x in assembly.greedy_dedup(df, "id", "v", "score", 0.9).collect()}
+    many = {tuple(x) for x in assembly.greedy_dedup(df, "id", "v", "score", 0.9, at_once=10, block=32).collect()}
+    assert one == many and any(x[2] is not None for x in one)
+
+
+def test_boundary_chain_follows_its_limits(spark):
+    from sparkloom.operators import graph
+
+    files = spark.createDataFrame([("a", "w1", "s1"), ("b", "w1", "s1"), ("c", "w2", "s1"), ("d", "w2", "s2"), ("e", "w2", "s2"), ("f", None, None)], "file_path string, workspace_id string, service_id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "e"), ("a", "x"), ("b", "f")], "source string, target string")
+    starts = spark.createDataFrame([("a",)], "node string")
+    got = {(r.file_path, r.imported_from): (r.depth, r.circular, r.truncated, r.reason, r.cross_workspace, r.cross_service) for r in graph.boundary_chain(edges, files, starts, max_depth=3, workspace_depth=2).collect()}
+    assert got == {
+        ("a", None): (0, False, False, None, False, False), ("b", "a"): (1, False, False, None, False, False), ("c", "a"): (1, False, False, None, True, False), ("x", "a"): (1, False, True, "external_dependency", False, False),
+        ("a", "b"): (2, True, True, "depth_limit", False, False), ("f", "b"): (2, False, False, None, False, False), ("d", "c"): (2, False, False, None, True, True), ("e", "d"): (3, False, True, "boundary_crossed", True, True),
+    }
+    free = {r.file_path for r in graph.boundary_chain(edges, files, starts, 3, respect_workspace=False, respect_service=False).where("not truncated").collect()}
+    assert free == {"a", "b", "c", "d", "e", "f"}
+
+
+def test_cross_repository_dedup_rules(spark):
+    from sparkloom.operators import context
+
+    rows = [(1, "ref", "r.py", [1.0, 0.0], 1), (2, "main", "m.py", [1.0, 0.01], 2), (3, "main", "m2.py", [1.0, 0.02], 3), (4, "ref", "r2.py", [1.0, 0.03], 4), (5, "lib", "l.py", [1.0, 0.0], 5), (6, None, "n.py", None, 6)]
+    df = spark.createDataFrame(rows, "id bigint, repo_id string, file_path string, v array<double>, ordinal int")
+    repos = spark.createDataFrame([("ref", "reference"), ("main", "monolithic"), ("lib", "library")], "repo_id string, repo_type string")
+    got = {r.id: (r.kept, r.similar_file) for r in context.cross_repository_dedup(df, repos, "id", "v", "ordinal").collect()}
+    assert got == {1: (False, None), 2: (True, None), 3: (False, None), 4: (False, None), 5: (True, None), 6: (True, None)}
+
+
+def test_detection_from_manifests(spark):
+    from sparkloom.operators import detect
+
+    pnpm = "packages:\n  - 'packages/*'\n  - tools\n"
+    files = [
+        ("r", "pnpm-workspace.yaml", pnpm), ("r", "package.json", '{"name": "root", "workspaces": ["apps/*"]}'), ("r", "packages/auth/package.json", '{"name": "@x/auth", "dependencies": {"@x/db": "workspace:*", "left": "1"}}'), ("r", "packages/db/package.json", '{"name": "@x/db"}'),
+        ("r", "tools/package.json", '{"name": "tools", "devDependencies": {"@x/db": "1", "@x/auth": "1"}}'), ("r", "packages/a/b/package.json", '{"name": "deep"}'), ("r", "packages/bad/package.json", "{"),
+        ("r", "tsconfig.json", '{\n // c\n "compilerOptions": {"paths": {"@app/*": ["src/app/*"], "~": []}}}'),
+        ("m", "docker-compose.yml", "services:\n  users:\n    image: x\n    depends_on:\n      - db\n      - mail\n  db:\n    image: y\n"), ("m", "services/users/main.go", ""), ("m", "services/pay/serverless.yml", ""), ("m", "services/mail/api/openapi.yaml", ""), ("m", "apps/web/package.json", '{"name": "web", "dependencies": {"express": "4"}}'),
+        ("m", "apps/lib/package.json", '{"name": "lib", "dependencies": {"x": "4"}}'), ("m", "apps/phone/app.json", '{"expo": {}}'), ("m", "packages/q/x.py", ""), ("n", "turbo.json", "{}"), ("n", "package.json", '{"workspaces": {"packages": ["libs/*"]}, "name": "n"}'), ("n", "libs/z/package.json", '{"name": "z"}'),
+    ]
+    df = spark.createDataFrame(files, "repo_id string, file_path string, content string")
+    assert {(r.repo_id, r.tool, r.workspace_path, r.package_name) for r in detect.workspaces(df).collect()} == {("r", "pnpm", "packages/auth", "@x/auth"), ("r", "pnpm", "packages/db", "@x/db"), ("r", "pnpm", "tools", "tools"), ("n", "npm", "libs/z", "z")}
+    assert {(r.source, r.target, r.kind) for r in detect.workspace_dependencies(detect.workspaces(df)).collect()} == {("@x/auth", "@x/db", "dependencies"), ("tools", "@x/db", "dev_dependencies"), ("tools", "@x/auth", "dev_dependencies")}
+    assert [(r.alias_pattern, r.resolved_path) for r in detect.path_aliases(df).collect()] == [("@app/*", "src/app/*")]
+    got = {(r.service_path, r.service_type, tuple(r.depends_on)) for r in detect.services(df.where("repo_id = 'm'")).collect()}
+    assert got == {("services/users", "docker", ("db", "mail")), ("services/pay", "serverless", ()), ("services/mail", "rest", ()), ("apps/web", "rest", ()), ("apps/lib", "library", ()), ("apps/phone", "mobile", ()), ("packages/q", "unknown", ())}
+
+
+def test_runtime_services(spark):
+    from sparkloom import runtime
+
+    now = [0.0]
+    c = runtime.Cache(2, 10, clock=lambda: now[0])
+    c.put("a", 1), c.put("b", 2), c.get("a"), c.put("d", 3)
+    assert (c.get("a"), c.get("b"), c.get("d")) == (1, None, 3) and c.evicted == 1
+    now[0] = 11
+    assert c.get("a") is None and c.stats()["hits"] == 3
+    waits, calls = [], []
+
+    def fail():
+        calls.append(1)
+        raise ConnectionError("no")
+
+    with pytest.raises(ConnectionError):
+        runtime.retry(fail, 2, 1.0, waits.append)
+    assert len(calls) == 3 and waits == [1.0, 2.0]
+    with pytest.raises(runtime.ValidationError):
+        runtime.retry(lambda: runtime.checked({"k": 0}, {"k": {"type": int, "least": 1}}), 2, 1.0, waits.append)
+    assert runtime.Settings.load({"SPARKLOOM_MAX_FILES": "7"}).max_files == 7
+    with pytest.raises(runtime.ConfigurationError):
+        runtime.Settings.load({"SPARKLOOM_MAX_FILES": "700"})
+    with pytest.raises(runtime.AccessError):
+        runtime.guarded_sql(spark, "select 1; DROP  DATABASE x")
+    assert runtime.check_sql("select a.x from other.t a") == ["a", "other"] and runtime.guarded_sql(spark, "select 1 as x")[0].count() == 1
+    t = runtime.Timings()
+    with t.stage("s", 10):
+        pass
+    assert t.table(spark).count() == 1 and runtime.health(spark, {"t": spark.range(1)}) == {"session": True, "t": True}
+    seen = []
+    runtime.Progress(4, lambda *a: seen.append(a[:3]), clock=lambda: now[0]).step()
+    assert seen == [(1, 4, 0.25)]
+
+
+def test_query_expansion_and_ids():
+    from sparkloom.functions import text as T
+
+    concepts = {"auth": ["login", "token"], "token": ["Token", "session"]}
+    assert T.expand_query("auth token", concepts).endswith("Code context: login, token, session, function, const") and T.expand_query("x", {}).endswith("function, const, export, import, return")
+    assert (T.doc_id_of(["/a/b/guide.md"]), T.doc_id_of(["/a/b/x.md", "/a/b/y.md"])) == ("guide", "b")
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from sparkloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake())
