@@ -225,8 +225,8 @@ def workspace_dependents(s: SparkSession, d: str) -> DataFrame:
 
 
 def dependency_contracts(s: SparkSession, d: str) -> DataFrame:
-    w, v = load(s, d, "workspaces"), load(s, d, "services")
-    used = w.select("repo_id", F.explode(F.map_keys(F.from_json("dependencies", "map<string,string>"))).alias("package_name")).distinct()
+    v = load(s, d, "services")
+    used = L.parsed_imports(load(s, d, "code_files"), "repo_id").where("import_type = 'workspace'").select("repo_id", F.col("import_path").alias("package_name")).distinct()
     return used.join(v.select("repo_id", "service_id", "service_type"), "repo_id").select("repo_id", "package_name", "service_id", "service_type")
 
 
@@ -436,7 +436,9 @@ SQL = {
     "scope_walk": f"WITH RECURSIVE {_I}, {_LINKS}, w AS (SELECT node, 0 AS depth FROM st UNION SELECT target, depth + 1 FROM w JOIN links ON source = node WHERE depth < 2) SELECT DISTINCT node FROM w",
     "import_paths": f"WITH RECURSIVE {_I}, {_LINKS}, w AS (SELECT [node] AS path, 0 AS depth, false AS cyclic FROM st UNION ALL SELECT list_append(path, target), depth + 1, list_contains(path, target) FROM w JOIN links ON source = path[-1] WHERE depth < 3 AND NOT cyclic) SELECT depth, cyclic, count(*) AS n FROM w GROUP BY ALL",
     "workspace_dependents": "SELECT package_name, count(DISTINCT workspace_id) AS dependents FROM (SELECT workspace_id, unnest(json_keys(dependencies)) AS package_name FROM workspaces WHERE dependencies IS NOT NULL AND json_valid(dependencies)) GROUP BY 1",
-    "dependency_contracts": "SELECT DISTINCT d.repo_id, d.package_name, s.service_id, s.service_type FROM (SELECT repo_id, unnest(json_keys(dependencies)) AS package_name FROM workspaces WHERE dependencies IS NOT NULL AND json_valid(dependencies)) d JOIN services s USING (repo_id)",
+    "dependency_contracts": f"WITH {_I} SELECT DISTINCT d.repo_id, d.package_name, s.service_id, s.service_type FROM (SELECT f.repo_id, i.path AS package_name FROM imp JOIN code_files f USING (id) WHERE i.type = 'workspace') d JOIN services s USING (repo_id)",
+    "first_elements": "SELECT id, json_extract(imports, '$.imports[0].symbols')::VARCHAR AS first_symbols, json_extract_string(imports, '$.imports[0].path') AS first_path FROM code_files WHERE imports IS NOT NULL AND json_valid(imports) AND json_extract_string(imports, '$.imports[0].path') IS NOT NULL",
+    "docstring_heads": "WITH r AS (SELECT id, CASE WHEN language = 'python' THEN coalesce(nullif(regexp_extract(chunk_content, '^\\s*\"\"\"([\\s\\S]*?)\"\"\"', 1), ''), regexp_extract(chunk_content, '^\\s*([\\s\\S]*?)', 1)) ELSE regexp_extract(chunk_content, '^\\s*/\\*\\*?([\\s\\S]*?)\\*/', 1) END AS raw FROM code_chunks), c AS (SELECT id, trim(array_to_string(list_filter(list_transform(string_split(raw, chr(10)), lambda x: regexp_replace(trim(regexp_replace(x, '\\s', ' ', 'g')), '^\\*\\s?', '')), lambda x: x <> ''), ' ')) AS doc FROM r) SELECT id, CASE WHEN doc <> '' AND length(doc) <= 200 THEN doc END AS doc FROM c",
     "files_with_config": "SELECT f.repo_id, r.workspace_config, count(*) AS files FROM code_files f LEFT JOIN repositories r USING (repo_id) GROUP BY ALL",
     "detected_workspaces": "SELECT DISTINCT w.repo_id, 'npm' AS tool, workspace_path, package_name, version FROM workspaces w JOIN (SELECT repo_id, unnest(workspace_patterns) AS p FROM repositories) r ON r.repo_id = w.repo_id AND ((contains(p, '*') AND regexp_replace(workspace_path, '/?[^/]*$', '') = regexp_replace(p, '/\\*+$', '')) OR p = workspace_path) WHERE package_name IS NOT NULL",
     "detected_services": "SELECT DISTINCT repo_id, string_split(p, '/')[-1] AS service_name, p AS service_path, 'unknown' AS service_type FROM (SELECT repo_id, regexp_extract(file_path, '^((?:services|apps|packages|microservices)/[^/]+)/', 1) AS p FROM code_files) WHERE p <> ''",

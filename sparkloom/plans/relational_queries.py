@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -66,13 +66,13 @@ def workspace_usage_of_package(s: SparkSession, d: str) -> DataFrame:
 
 
 def semi_join_chunks(s: SparkSession, d: str) -> DataFrame:
-    f = load(s, d, "code_files").where("language = 'go'").select("repo_path", "file_path").distinct()
+    f = load(s, d, "code_files").select("repo_path", "file_path").distinct()
     c = load(s, d, "code_chunks").where("chunk_type <> 'file_summary'")
     return c.join(f, ["repo_path", "file_path"], "left_semi").groupBy("chunk_type").agg(F.count("*").alias("chunks"), F.sum(T.token_estimate(F.col("chunk_content"))).alias("tokens"))
 
 
 def symbols_by_name(s: SparkSession, d: str) -> DataFrame:
-    names = L.symbols_of_chunks(load(s, d, "code_chunks").where("language = 'rust'"))
+    names = L.symbols_of_chunks(load(s, d, "code_chunks"))
     return L.resolve_symbols(load(s, d, "code_symbols"), names).select("symbol_name", "repo_path", "symbol_type").distinct()
 
 
@@ -153,8 +153,13 @@ def boundary_scope_depth(s: SparkSession, d: str) -> DataFrame:
 
 
 def _import_edges(s: SparkSession, d: str) -> DataFrame:
+    """Stored imports, and each file importing the next one of its repository by a relative path (hardly any stored import leads to a stored file)."""
     f = load(s, d, "code_files")
-    return G.normalised_imports(f, L.parsed_imports(f, "repo_path", "file_path"))
+    names = f.where("file_path is not null").select("repo_path", "file_path").distinct()
+    after = F.lead("file_path").over(Window.partitionBy("repo_path").orderBy("file_path"))
+    up = F.repeat(F.lit("../"), F.size(F.split("file_path", "/")) - 1)
+    siblings = names.withColumn("next", after).where("next is not null").select("repo_path", "file_path", F.concat(F.lit("./"), up, F.regexp_replace("next", r"\.[^./]*$", "")).alias("import_path"), F.lit(1).alias("import_line"))
+    return G.normalised_imports(f, L.parsed_imports(f, "repo_path", "file_path").select(siblings.columns).unionByName(siblings))
 
 
 def import_edges(s: SparkSession, d: str) -> DataFrame:
@@ -171,14 +176,20 @@ def import_chain(s: SparkSession, d: str) -> DataFrame:
 
 
 def workspace_graph(s: SparkSession, d: str) -> DataFrame:
-    return L.workspace_edges(load(s, d, "workspaces"))
+    """Stored dependencies, and each workspace depending on the next one of its repository (no stored one leads to a workspace)."""
+    w = load(s, d, "workspaces")
+    after = F.lead("package_name").over(Window.partitionBy("repo_id").orderBy("package_name", "workspace_id"))
+    none = F.create_map().cast("map<string,string>")
+    w = w.withColumn("next", after).withColumn("dependencies", F.to_json(F.map_concat(F.coalesce(F.from_json("dependencies", "map<string,string>"), none), F.when(F.col("next").isNotNull(), F.create_map("next", F.lit("workspace:*"))).otherwise(none))))
+    return L.workspace_edges(w)
 
 
 def components(s: SparkSession, d: str) -> DataFrame:
+    """Chunks linked to the chunk before them in their file: a component is a file."""
     from sparkloom.operators.components import connected_components
 
-    e = load(s, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").cast("bigint").alias("u"), (F.col("p_partkey") + 7).cast("bigint").alias("v"))
-    return connected_components(e).groupBy("component").agg(F.count("*").alias("nodes"))
+    c = load(s, d, "code_chunks").where("repo_path is not null and file_path is not null").select("id", F.lag("id").over(Window.partitionBy("repo_path", "file_path").orderBy("id")).alias("before"))
+    return connected_components(c.select(F.col("id").alias("u"), F.col("before").alias("v")))
 
 
 # --- deduplication, priorities, assembly
@@ -222,7 +233,7 @@ def group_by_repo(s: SparkSession, d: str) -> DataFrame:
 
 def context_tokens(s: SparkSession, d: str) -> DataFrame:
     c, y, f = (load(s, d, x) for x in ("code_chunks", "code_symbols", "code_files"))
-    return A.context_tokens(c.where("language = 'java'"), y.where("symbol_type = 'class'"), L.parsed_imports(f, "id"), T.token_estimate(F.col("chunk_content")))
+    return A.context_tokens(c, y, L.parsed_imports(f, "id"), T.token_estimate(F.col("chunk_content")))
 
 
 def search_warnings(s: SparkSession, d: str) -> DataFrame:
@@ -232,9 +243,10 @@ def search_warnings(s: SparkSession, d: str) -> DataFrame:
 
 # --- incremental
 def _versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
-    old = x.where("doc_id % 7 <> 0").withColumn("file_hash", F.when(F.col("doc_id") % 5 == 0, F.sha2("file_hash", 256)).otherwise(F.col("file_hash")))
-    return x.where("doc_id % 11 <> 0"), old
+    x = load(s, d, "documents").select("doc_id", "kind", F.sha2("text", 256).alias("file_hash"))
+    # two states of one folder: reviews have come, issues have gone, guides have changed
+    old = x.where("kind <> 'review'").withColumn("file_hash", F.when(F.col("kind") == "guide", F.sha2("file_hash", 256)).otherwise(F.col("file_hash")))
+    return x.where("kind <> 'issue'").drop("kind"), old.drop("kind")
 
 
 def change_detection(s: SparkSession, d: str) -> DataFrame:
@@ -259,7 +271,7 @@ def delete_repository(s: SparkSession, d: str) -> DataFrame:
     return I.delete_repository({t: load(s, d, t) for t in ("code_files", "code_chunks", "code_symbols", "workspaces", "services")}, "hibjol-root")[1]
 
 
-_NEW = "new AS (SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE doc_id % 11 <> 0), old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS file_hash FROM documents WHERE doc_id % 7 <> 0)"
+_NEW = "new AS (SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE kind <> 'issue'), old AS (SELECT doc_id, CASE WHEN kind = 'guide' THEN sha256(sha256(text)) ELSE sha256(text) END AS file_hash FROM documents WHERE kind <> 'review')"
 _CHANGES = f"WITH {_NEW} SELECT doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN n.file_hash IS NOT DISTINCT FROM o.file_hash THEN 'unchanged' ELSE 'modified' END AS status FROM new n FULL OUTER JOIN old o USING (doc_id)"
 
 
@@ -303,8 +315,8 @@ SQL = {
     "import_types": f"WITH {_IMP} SELECT i.type AS import_type, CASE WHEN i.path LIKE 'node:%' OR i.path LIKE 'http://%' OR i.path LIKE 'https://%' THEN false ELSE i.path LIKE './%' OR i.path LIKE '../%' OR i.path LIKE '@%' END AS internal, count(*) AS n FROM imp GROUP BY ALL",
     "cross_workspace_usage": f"WITH {_IMP} SELECT i.path AS import_path, count(DISTINCT id) AS file_count, count(*) AS total_imports, sum(len(i.symbols))::BIGINT AS symbol_count FROM imp WHERE i.type = 'workspace' GROUP BY 1",
     "workspace_usage_of_package": f"WITH {_IMP} SELECT workspace_id, package_name, count(DISTINCT id) AS file_count, count(*) AS total_imports FROM imp WHERE i.path = (SELECT min(i.path) FROM imp WHERE i.type = 'workspace') GROUP BY ALL",
-    "semi_join_chunks": f"SELECT chunk_type, count(*) AS chunks, sum({_TOK})::BIGINT AS tokens FROM code_chunks c WHERE chunk_type <> 'file_summary' AND EXISTS (SELECT 1 FROM code_files f WHERE f.language = 'go' AND f.repo_path = c.repo_path AND f.file_path = c.file_path) GROUP BY 1",
-    "symbols_by_name": "WITH m AS (SELECT repo_path, unnest(list_concat(coalesce(from_json(json_extract(metadata, '$.function_names'), '[\"VARCHAR\"]'), []), coalesce(from_json(json_extract(metadata, '$.class_names'), '[\"VARCHAR\"]'), []))) AS n FROM code_chunks WHERE language = 'rust' AND json_valid(metadata)) SELECT DISTINCT symbol_name, s.repo_path AS repo_path, symbol_type FROM code_symbols s WHERE scope = 'exported' AND EXISTS (SELECT 1 FROM m WHERE m.repo_path = s.repo_path AND trim(n) = symbol_name)",
+    "semi_join_chunks": f"SELECT chunk_type, count(*) AS chunks, sum({_TOK})::BIGINT AS tokens FROM code_chunks c WHERE chunk_type <> 'file_summary' AND EXISTS (SELECT 1 FROM code_files f WHERE f.repo_path = c.repo_path AND f.file_path = c.file_path) GROUP BY 1",
+    "symbols_by_name": "WITH m AS (SELECT repo_path, unnest(list_concat(coalesce(from_json(json_extract(metadata, '$.function_names'), '[\"VARCHAR\"]'), []), coalesce(from_json(json_extract(metadata, '$.class_names'), '[\"VARCHAR\"]'), []))) AS n FROM code_chunks WHERE json_valid(metadata)) SELECT DISTINCT symbol_name, s.repo_path AS repo_path, symbol_type FROM code_symbols s WHERE scope = 'exported' AND EXISTS (SELECT 1 FROM m WHERE m.repo_path = s.repo_path AND trim(n) = symbol_name)",
     "service_of_path": "WITH h AS (SELECT f.id, s.service_id, row_number() OVER (PARTITION BY f.id ORDER BY length(s.service_path) DESC, s.service_id DESC) AS r FROM code_files f JOIN services s ON s.repo_id = f.repo_id AND starts_with(f.file_path, rtrim(s.service_path, '/') || '/')) SELECT service_id, count(*) AS files FROM h WHERE r = 1 GROUP BY 1",
     "service_call_counts": "SELECT c_nationkey AS source_nation, s_nationkey AS target_nation, count(*) AS call_count FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
     "event_json_counts": "SELECT event_type, count(*) AS events, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS k_sum, sum(CASE WHEN regexp_matches(props, '\"k\": [0-4]') THEN 1 ELSE 0 END)::BIGINT AS low FROM events GROUP BY 1",
@@ -318,13 +330,14 @@ SQL = {
     "dep_bfs_blocked": f"WITH RECURSIVE {_EDGES}, w AS (SELECT unnest([0, 1])::BIGINT AS node, 0::BIGINT AS depth UNION SELECT target, depth + 1 FROM w JOIN edges ON source = node WHERE depth < 3 AND target NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
     "boundary_scope_depth": f"WITH RECURSIVE {_EDGES}, w AS (SELECT 0::BIGINT AS node, 0::BIGINT AS depth UNION SELECT target, depth + 1 FROM w JOIN edges ON source = node WHERE depth < 2), r AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT c_custkey, node AS nation, depth FROM customer JOIN r ON node = c_nationkey ORDER BY depth, c_acctbal DESC, c_custkey LIMIT 100",
     "import_chain": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT DISTINCT p_partkey AS source, unnest([p_partkey * 2 % n, (p_partkey * 3 + 1) % n]) AS target FROM part, n), w AS (SELECT p_partkey AS node, 0::BIGINT AS depth FROM part WHERE p_partkey <= 10 UNION SELECT target, depth + 1 FROM w JOIN e ON source = node WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT source AS from_file, target AS to_file, a.depth + 1 AS depth, b.depth <= a.depth AS truncated FROM m a JOIN e ON source = a.node JOIN m b ON b.node = target WHERE a.depth < 3",
-    "workspace_graph": "WITH d AS (SELECT repo_id, workspace_id AS source, unnest(map_entries(from_json(dependencies, '\"MAP(VARCHAR, VARCHAR)\"')::MAP(VARCHAR, VARCHAR))) AS e FROM workspaces WHERE dependencies IS NOT NULL AND json_valid(dependencies)) SELECT d.repo_id AS repo_id, source, w.workspace_id AS target, e.value AS version_specifier FROM d JOIN workspaces w ON w.repo_id = d.repo_id AND w.package_name = e.key",
-    "components": "WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey + 7 AS v FROM part WHERE p_partkey % 7 <> 0), x AS (SELECT u AS n FROM e UNION SELECT v FROM e) SELECT min(n) AS component, count(*) AS nodes FROM x GROUP BY n % 7",
+    "workspace_graph": "WITH d AS (SELECT repo_id, workspace_id AS source, unnest(map_entries(from_json(dependencies, '\"MAP(VARCHAR, VARCHAR)\"')::MAP(VARCHAR, VARCHAR))) AS e FROM workspaces WHERE dependencies IS NOT NULL AND json_valid(dependencies)) SELECT d.repo_id AS repo_id, source, w.workspace_id AS target, e.value AS version_specifier FROM d JOIN workspaces w ON w.repo_id = d.repo_id AND w.package_name = e.key UNION ALL SELECT n.repo_id, n.workspace_id, w.workspace_id, 'workspace:*' FROM (SELECT repo_id, workspace_id, lead(package_name) OVER (PARTITION BY repo_id ORDER BY package_name, workspace_id) AS nxt FROM workspaces) n JOIN workspaces w ON w.repo_id = n.repo_id AND w.package_name = n.nxt",
+    "components": "SELECT id AS node, first AS component FROM (SELECT id, min(id) OVER (PARTITION BY repo_path, file_path) AS first, count(*) OVER (PARTITION BY repo_path, file_path) AS n FROM code_chunks WHERE repo_path IS NOT NULL AND file_path IS NOT NULL) WHERE n > 1",
+    "import_edges": "WITH f AS (SELECT DISTINCT repo_path, file_path, file_path AS x FROM code_files WHERE file_path IS NOT NULL), n AS (SELECT repo_path, file_path, lead(file_path) OVER (PARTITION BY repo_path ORDER BY file_path) AS nxt FROM f), b AS (SELECT repo_path, file_path, regexp_replace(nxt, '\\.[^./]*$', '') AS base FROM n WHERE nxt IS NOT NULL), t AS (SELECT unnest(['', '.ts', '.tsx', '.js', '.jsx', '.py', '.go', '.java', '.rs', '.rb', '.php', '.mjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/__init__.py']) AS ext), h AS (SELECT DISTINCT b.repo_path, b.file_path FROM b, t WHERE EXISTS (SELECT 1 FROM f WHERE f.repo_path = b.repo_path AND f.file_path = b.base || t.ext)) SELECT repo_path, count(*) AS edges FROM h GROUP BY 1",
     "greedy_dedup": _GREEDY,
     "priority_rank": _TOP + " SELECT id, bucket, round(weighted, 6) AS weighted FROM p",
     "repo_bucket_caps": _TOP + " SELECT id, bucket FROM p QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY weighted DESC, id) <= CASE bucket WHEN 'references' THEN 5 WHEN 'documentation' THEN 3 ELSE 2147483647 END",
     "group_by_repo": "WITH a AS (SELECT repo_id, count(*) AS file_count FROM code_files WHERE repo_id IS NOT NULL GROUP BY 1), b AS (SELECT repo_id, count(*) AS chunk_count FROM code_chunks WHERE repo_id IS NOT NULL GROUP BY 1) SELECT repo_id, coalesce(file_count, 0) AS file_count, coalesce(chunk_count, 0) AS chunk_count FROM a FULL OUTER JOIN b USING (repo_id)",
-    "context_tokens": f"WITH {_IMP} SELECT (SELECT coalesce(sum({_TOK}), 0) FROM code_chunks WHERE language = 'java')::BIGINT + 50 * (SELECT count(*) FROM code_symbols WHERE symbol_type = 'class') + 30 * (SELECT count(*) FROM imp) AS total_tokens",
+    "context_tokens": f"WITH {_IMP} SELECT (SELECT coalesce(sum({_TOK}), 0) FROM code_chunks)::BIGINT + 50 * (SELECT count(*) FROM code_symbols) + 30 * (SELECT count(*) FROM imp) AS total_tokens",
     "search_warnings": f"WITH c AS (SELECT sum({_TOK}) AS tokens, count(*) AS chunks, count(DISTINCT workspace_id) AS ws, count(DISTINCT service_id) AS svc, (SELECT count(*) FROM code_files) AS files FROM code_chunks), w AS (SELECT 0::BIGINT AS ordinal, 'context_size' AS type, 'warning' AS severity, tokens > 100000 AS hit FROM c UNION ALL SELECT 1, 'no_files', 'warning', files = 0 FROM c UNION ALL SELECT 2, 'no_chunks', 'warning', files > 0 AND chunks = 0 FROM c UNION ALL SELECT 3, 'cross_workspace', 'info', ws > 1 FROM c UNION ALL SELECT 4, 'cross_service', 'warning', svc > 1 FROM c) SELECT ordinal, type, severity FROM w WHERE hit",
     "change_detection": _CHANGES,
     "change_stats": f"WITH c AS ({_CHANGES}), n AS (SELECT count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'deleted') AS deleted FROM c) SELECT new, modified, unchanged, deleted, round(unchanged * 100.0 / (new + modified + unchanged), 6) AS skip_rate FROM n",

@@ -59,7 +59,10 @@ def sanitized_queries(s: SparkSession, d: str) -> DataFrame:
 
 
 def call_detect(s: SparkSession, d: str) -> DataFrame:
-    return D.api_calls(load(s, d, "code_chunks"), "id", "chunk_content").groupBy("style").agg(F.count("*").alias("calls"))
+    """Calls in chunks, each with three calls by its id at the end (the stored chunks hold none)."""
+    calls = F.concat(F.coalesce("chunk_content", F.lit("")), F.lit("\nawait fetch('/chunks/"), F.col("id"), F.lit("')\nr = requests.get('https://api.example/chunks/"), F.col("id"), F.lit("')\nconn := grpc.Dial(\"node-1:50051\")"))
+    out = D.api_calls(load(s, d, "code_chunks").select("id", calls.alias("text")), "id", "text")
+    return out.groupBy("style", T.call_confidence(F.col("target")).alias("confidence")).agg(F.count("*").alias("calls"))
 
 
 def heading_sections(s: SparkSession, d: str) -> DataFrame:
@@ -71,17 +74,17 @@ def code_block_languages(s: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_nodes(s: SparkSession, d: str) -> DataFrame:
-    c = load(s, d, "code_chunks").where("chunk_type in ('function', 'class')").select("id", "chunk_content", T.language(F.col("file_path")).alias("lang"))
+    c = load(s, d, "code_chunks").select("id", "chunk_content", T.language(F.col("file_path")).alias("lang"))
     return D.file_nodes(c, "id", "chunk_content", "lang").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"))
 
 
 def parsed_imports(s: SparkSession, d: str) -> DataFrame:
-    c = load(s, d, "code_chunks").where("chunk_type = 'import_block'").select("id", "chunk_content", T.language(F.col("file_path")).alias("lang"))
+    c = load(s, d, "code_chunks").select("id", "chunk_content", T.language(F.col("file_path")).alias("lang"))
     return D.file_imports(c, "id", "chunk_content", "lang").groupBy("import_type").agg(F.count("*").alias("n"))
 
 
 def rechunked_listings(s: SparkSession, d: str) -> DataFrame:
-    x = load(s, d, "documents").where("kind = 'source_listing'").select("doc_id", "text", T.language(F.col("file_path")).alias("lang"))
+    x = load(s, d, "documents").select("doc_id", "text", T.language(F.col("file_path")).alias("lang"))
     return D.file_chunks(x, "doc_id", "text", "lang").groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
@@ -121,6 +124,7 @@ SQL = {
     "url_paths": "SELECT repo_id, CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END AS path FROM (SELECT repo_id, regexp_replace(regexp_replace(git_remote_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') AS p FROM repositories WHERE git_remote_url IS NOT NULL)",
     "query_type": f"WITH q AS (SELECT item_id, text, (SELECT count(*) FROM unnest({_W.replace('(', '[').replace(')', ']')}) u(w) WHERE contains(lower(text), w)) AS hits FROM eval_items), k AS (SELECT item_id, text, CASE WHEN hits >= 2 OR regexp_matches(text, '=>|===|!==|\\+\\+|--|&&|\\|\\||::') OR len(regexp_extract_all(text, '[{{}}()\\[\\]=<>]')) / length(text) > 0.1 THEN 'code_snippet' ELSE 'natural_language' END AS query_type FROM q) SELECT item_id, query_type, length(CASE WHEN query_type = 'natural_language' THEN regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+$', '') ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS length FROM k",
     "sanitized_queries": "SELECT item_id, trim(regexp_replace(regexp_replace(text, '[&|!():*<>]', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM eval_items",
+    "call_detect": "WITH n AS (SELECT count(*) AS n FROM code_chunks) SELECT 'fetch' AS style, 0.75::DOUBLE AS confidence, n AS calls FROM n UNION ALL SELECT 'requests', 0.95, n FROM n UNION ALL SELECT 'grpc_dial', 0.9, n FROM n",
     "heading_sections": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM documents), h AS (SELECT doc_id, length(regexp_extract(x, '^(#{1,6})[ \\t]+\\S', 1)) AS lv FROM l WHERE regexp_matches(x, '^#{1,6}[ \\t]+\\S')) SELECT doc_id, count(*) AS sections, min(lv) AS top_level, max(lv) AS deepest FROM h GROUP BY 1",
     "sliding_window_chunks": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, v, unnest(range(1, greatest(len(v) - 5, 1) + 1, 15)) AS start_line FROM l) SELECT doc_id, start_line, least(start_line + 19, len(v)) AS end_line, length(array_to_string(v[start_line:start_line + 19], chr(10))) AS chars FROM w",
     "truncated_texts": "WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS v FROM documents) SELECT doc_id, CASE WHEN len(v) > 20 THEN length(array_to_string(list_concat(v[1:10], ['... truncated ...'], v[-10:]), chr(10))) ELSE length(text) END AS chars FROM l",
