@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import stem, url_path
@@ -45,32 +47,41 @@ def contract_warnings(matched: DataFrame, endpoints: DataFrame, linked: DataFram
     return out
 
 
+def _names(text: Column) -> Column:
+    """Lower-cased names and their beginnings at each capital or underscore: ``getUserById`` gives getuserbyid, getuserby and getuser."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z_]\w{2,})"), F.lit(1)))
+    heads = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.transform(F.sequence(F.lit(3), F.greatest(F.char_length(w) - 1, F.lit(3))), lambda n: F.when(F.substring(w, n + 1, F.lit(1)).rlike("[A-Z_]"), F.substring(w, F.lit(1), n))), lambda x: x.isNotNull()))))
+    return F.array_distinct(F.transform(heads, lambda x: F.regexp_replace(F.lower(x), "_", "")))
+
+
 def link_implementations(endpoints: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
     """``(endpoint_id, chunk_id, strategy, confidence)``: the best code chunk of each endpoint of a repository.
 
     ``endpoints(id, repo_id, method, path, operation_id)``, ``chunks(id, repo_id, file_path, content)``. The ways are tried in the order of
-    LINK_CONFIDENCE; of equal ones the smaller chunk id wins. Null and empty operation ids name nothing.
+    LINK_CONFIDENCE; of equal ones the smaller chunk id wins. Null and empty operation ids name nothing. What a chunk defines, the routes it quotes, the parts of its
+    path and its names are extracted once, and endpoints meet them by equality: no endpoint is tested against every chunk of its repository.
+
+    operation_id: a definition of that name. decorator, route: the quoted path, beside ``@verb`` or ``.route(``, or ``.verb(``. file_path: a part of the path is the
+    resource (the path's last constant part), and the verb occurs. function_name: a name begins with verb and resource.
     """
     last = F.regexp_extract(F.regexp_replace("path", r"/[:{<][^/]*", ""), r"([^/]+)/?$", 1)
     e = endpoints.select(F.col("id").alias("endpoint_id"), "repo_id", F.lower("method").alias("verb"), "path", F.nullif("operation_id", F.lit("")).alias("operation_id"), F.lower(last).alias("resource"))
     c = chunks.select(F.col("id").alias("chunk_id"), "repo_id", F.lower("file_path").alias("file"), "content", F.lower("content").alias("low"))
-    x = e.join(c, "repo_id")  # an equi join; both sides are of one repository's interface and code
-    named = lambda name: F.expr(f"content rlike concat('\\\\b(function|def|func|fn|async)\\\\s+', {name}, '\\\\b')")
-    quoted = F.expr("instr(content, concat('\\'', path, '\\'')) > 0 or instr(content, concat('\"', path, '\"')) > 0")
-    rules = {
-        "operation_id": F.col("operation_id").isNotNull() & F.col("operation_id").rlike(r"^\w+$") & named("operation_id"),
-        "decorator": quoted & F.expr("instr(low, concat('@', verb)) > 0 or instr(low, '.route(') > 0"),
-        "route": quoted & F.expr("instr(low, concat('.', verb, '(')) > 0"),
-        "file_path": (F.col("resource") != "") & F.expr("instr(file, resource) > 0") & F.expr("instr(low, verb) > 0"),
-        "function_name": (F.col("resource") != "") & F.expr("instr(low, concat(verb, resource)) > 0 or instr(low, concat(verb, '_', resource)) > 0"),
-    }
-    strategy = F.coalesce(*[F.when(cond, name) for name, cond in rules.items()])
-    scored = x.select("endpoint_id", "chunk_id", strategy.alias("strategy")).where("strategy is not null")
-    conf = F.lit(None).cast("double")
-    for name, v in LINK_CONFIDENCE.items():
-        conf = F.when(F.col("strategy") == name, v).otherwise(conf)
-    best = Window.partitionBy("endpoint_id").orderBy(F.desc("confidence"), "chunk_id")
-    return scored.withColumn("confidence", conf).where(F.col("confidence") >= least).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    one = lambda col: F.explode(F.array_distinct(col))
+    defined = c.select("repo_id", "chunk_id", one(F.regexp_extract_all("content", F.lit(r"\b(?:async\s+)?(?:function|def|func|fn|async)\s+(\w+)"), F.lit(1))).alias("operation_id"))
+    verbs = F.filter(F.array(*[F.lit(v) for v in ("get", "post", "put", "patch", "delete", "head", "options", "query", "mutation")]), lambda v: F.col("low").contains(v))
+    routed = c.select("repo_id", "chunk_id", F.col("low").contains(".route(").alias("any_verb"), F.filter(verbs, lambda v: F.col("low").contains(F.concat(F.lit("@"), v))).alias("marked"), F.filter(verbs, lambda v: F.col("low").contains(F.concat(F.lit("."), v, F.lit("(")))).alias("called"), one(F.regexp_extract_all("content", F.lit(r"['\"](/[^'\"\n]*)['\"]"), F.lit(1))).alias("path"))
+    placed = c.select("repo_id", "chunk_id", verbs.alias("verbs"), one(F.split("file", r"[/._-]+")).alias("resource"))
+    named = c.select("repo_id", "chunk_id", F.explode(_names(F.col("content"))).alias("name"))
+    by_route = e.join(routed, ["repo_id", "path"])
+    own = F.concat("verb", F.regexp_replace("resource", "[^a-z0-9]", ""))
+    ways = {
+        "operation_id": e.join(defined, ["repo_id", "operation_id"]), "decorator": by_route.where(F.col("any_verb") | F.expr("array_contains(marked, verb)")), "route": by_route.where(F.expr("array_contains(called, verb)")),
+        "file_path": e.where("resource <> ''").join(placed, ["repo_id", "resource"]).where(F.expr("array_contains(verbs, verb)")), "function_name": e.where("resource <> ''").withColumn("name", own).join(named, ["repo_id", "name"]),
+    }
+    found = reduce(DataFrame.unionByName, [df.select("endpoint_id", "chunk_id", F.lit(n).alias("strategy"), F.lit(LINK_CONFIDENCE[n]).alias("confidence")) for n, df in ways.items()])
+    best = found.where(F.col("confidence") >= least).groupBy("endpoint_id").agg(F.min_by(F.struct("chunk_id", "strategy", "confidence"), F.struct(-F.col("confidence"), F.col("chunk_id"))).alias("b"))
+    return best.select("endpoint_id", "b.chunk_id", "b.strategy", "b.confidence")
 
 
 def contract_links(endpoints: DataFrame, links: DataFrame, services: DataFrame) -> DataFrame:

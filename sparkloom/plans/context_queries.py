@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom import api
 from sparkloom.functions import text as T
 from sparkloom.operators import context as C
+from sparkloom.operators import contracts as K
 from sparkloom.operators import decompose as D
 from sparkloom.operators import detect
 from sparkloom.operators import documentation as Doc
@@ -137,6 +139,76 @@ def first_elements(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "code_files").select("id", F.to_json(F.get(i, F.lit(0))["symbols"]).alias("first_symbols"), F.get(i, F.lit(0))["path"].alias("first_path")).where("first_path is not null")
 
 
+# --- contracts, aliases, boundaries
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    x = load(s, d, "code_symbols").where("symbol_name is not null")
+    return x.select(F.col("id").alias("call_id"), F.when(F.col("symbol_type") == "method", "post").alias("method"), F.concat(F.lit("https://api.example/"), "symbol_name", F.lit("?page=2")).alias("target"))
+
+
+def matched_calls(s: SparkSession, d: str) -> DataFrame:
+    return K.match_calls(_calls(s, d), _endpoints(s, d)).select("call_id", "endpoint_id", "service_id")
+
+
+def implementation_links(s: SparkSession, d: str) -> DataFrame:
+    c = load(s, d, "code_chunks").select("id", "repo_id", "file_path", F.col("chunk_content").alias("content"))
+    e = load(s, d, "code_symbols").where("service_id is not null").select("id", "repo_id", F.lit("GET").alias("method"), F.concat(F.lit("/"), "symbol_name").alias("path"), F.col("symbol_name").alias("operation_id"))
+    return K.link_implementations(e, c).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+def contract_warnings(s: SparkSession, d: str) -> DataFrame:
+    e = _endpoints(s, d).withColumn("deprecated", F.col("method") == "POST")
+    links = C.endpoints_by_chunk(e, load(s, d, "code_chunks"))
+    return K.contract_warnings(K.match_calls(_calls(s, d), e), e, links)
+
+
+def contract_links(s: SparkSession, d: str) -> DataFrame:
+    e = _endpoints(s, d)
+    return K.contract_links(e, C.endpoints_by_chunk(e, load(s, d, "code_chunks")), load(s, d, "services"))
+
+
+def resolved_aliases(s: SparkSession, d: str) -> DataFrame:
+    i = L.parsed_imports(load(s, d, "code_files").where("repo_id is not null"), "repo_id").select("repo_id", "import_path")
+    rules = s.createDataFrame([("/*", "src/*", 0), ("@*", "packages/*", 1), ("../*", "up/*", 2)], "alias_pattern string, resolved_path string, ordinal int")
+    aliases = F.broadcast(rules.withColumn("one", F.lit(1)))  # three rows
+    a = load(s, d, "repositories").select("repo_id", F.lit(1).alias("one")).join(aliases, "one").drop("one")
+    return K.resolve_aliases(i, a).groupBy("import_path", "resolved_path").agg(F.count("*").alias("n"))
+
+
+def imported_packages(s: SparkSession, d: str) -> DataFrame:
+    return L.parsed_imports(load(s, d, "code_files"), "id").where("import_type = 'workspace' or import_type = 'external'").groupBy(K.package_of_import(F.col("import_path")).alias("package")).agg(F.count("*").alias("n"))
+
+
+def boundary_edges(s: SparkSession, d: str) -> DataFrame:
+    f = load(s, d, "code_files").where("file_path is not null and repo_path is not null")
+    after = F.lead("file_path").over(Window.partitionBy("repo_path").orderBy("file_path"))
+    e = f.select("repo_path", "file_path").distinct().select("repo_path", F.col("file_path").alias("source"), after.alias("target")).where("target is not null")
+    one = f.groupBy("repo_path", "file_path").agg(F.min("workspace_id").alias("workspace_id"), F.min("service_id").alias("service_id"))
+    return K.within_boundary(e, one, same_service=True).groupBy("crosses_workspace", "crosses_service").agg(F.count("*").alias("n"))
+
+
+def merged_metadata(s: SparkSession, d: str) -> DataFrame:
+    m = K.merge_metadata(F.col("metadata"), F.lit('{"version": "2", "last_indexed": "now"}'))
+    return load(s, d, "repositories").select("repo_id", F.get_json_object(m, "$.version").alias("version"), F.get_json_object(m, "$.branch").alias("branch"))
+
+
+def reindex_decisions(s: SparkSession, d: str) -> DataFrame:
+    r = load(s, d, "repositories").withColumn("last_version", F.try_variant_get(F.try_parse_json("metadata"), "$.branch", "string"))
+    return I.reindex_decision(r, "main").select("repo_id", "decision")
+
+
+def stale_removed(s: SparkSession, d: str) -> DataFrame:
+    f = load(s, d, "code_files")
+    state = f.groupBy("repo_path", "file_path").agg(F.min("language").alias("language")).select("repo_path", "file_path", F.when(F.col("language") == "go", "modified").when(F.col("language") == "rust", "deleted").otherwise("unchanged").alias("status"))
+    (chunks, symbols), todo = I.apply_changes(state, load(s, d, "code_chunks"), load(s, d, "code_symbols"), keys=("repo_path", "file_path"))
+    return _counted({"code_chunks": chunks, "code_symbols": symbols, "to_index": todo})
+
+
+def contract_search(s: SparkSession, d: str) -> DataFrame:
+    x = load(s, d, "code_symbols")
+    e = x.where("service_id is not null").select("id", "service_id", "embedding", F.lit("GET").alias("method"), F.col("symbol_name").alias("path"), (F.col("scope") == "internal").alias("deprecated"))
+    return api.search_api_contracts(e, "q", 25, 0.05, embed=lambda _: _query(x, "id", "embedding")).select("id", "service_id", F.round("similarity", 6).alias("similarity"))
+
+
 # --- dedup
 def _top_chunks(s: SparkSession, d: str, n: int = 60) -> DataFrame:
     c = load(s, d, "code_chunks")
@@ -374,7 +446,7 @@ QUERIES = {
         group_by_workspace, group_by_service, group_by_repository, grouped_context, search_metadata, import_counts, chunks_by_file, display_forms, overhead_tokens, service_ids, endpoints_by_service, endpoints_by_chunk, implementation_match, enriched_endpoints, repository_filter, endpoint_checks, endpoint_methods,
         endpoint_service_names, call_usage, target_services, first_elements, cross_repo_dedup, documentation_search, documentation_list, documentation_list_fan_out, documentation_removed, file_links, file_chain, boundary_chain, file_context, scope_walk, import_paths, workspace_dependents, dependency_contracts,
         files_with_config, detected_workspaces, detected_dependencies, detected_services, stored_tables, cleared_repository, deleted_path, repository_five_counts, partitioned_topk, stage_statistics, mean_quality, indexing_strategies, structure_summaries, docstring_heads, embedding_texts, definition_texts,
-        endpoint_texts, doc_embedding_texts, call_confidences, line_ranges, node_symbols, chunk_metadata,
+        endpoint_texts, doc_embedding_texts, call_confidences, line_ranges, node_symbols, chunk_metadata, matched_calls, implementation_links, contract_warnings, contract_links, resolved_aliases, imported_packages, boundary_edges, merged_metadata, reindex_decisions, stale_removed, contract_search,
     )
 }
 
@@ -457,4 +529,14 @@ SQL = {
     "call_confidences": f"WITH {_I}, t AS (SELECT git_remote_url AS x FROM repositories UNION ALL SELECT i.path FROM imp UNION ALL SELECT repo_path FROM repositories) SELECT CASE WHEN coalesce(x, '') = '' THEN 0.3 WHEN regexp_matches(x, '^https?://') THEN 0.95 WHEN regexp_matches(x, '^[\\w.-]+:\\d+') THEN 0.9 WHEN x LIKE '/%' THEN 0.75 WHEN contains(x, '$') OR contains(x, '{{') THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS n FROM t GROUP BY 1",
     "line_ranges": "SELECT id, concat_ws('-', start_line, end_line) AS lines FROM code_chunks",
     "partitioned_topk": f"SELECT id, round(sim, 6) AS similarity FROM (SELECT id, language, {_sim('code_chunks', 'id', 'embedding')} AS sim FROM code_chunks) WHERE language = 'go' AND sim IS NOT NULL ORDER BY sim DESC, id LIMIT 20",
+    "matched_calls": f"WITH {_E}, c AS (SELECT id AS call_id, symbol_type = 'method' AS post, '/' || symbol_name AS path FROM code_symbols WHERE symbol_name IS NOT NULL), x AS (SELECT method, path, max(id) AS id FROM e GROUP BY ALL), y AS (SELECT path, max(id) AS id FROM e GROUP BY ALL), m AS (SELECT call_id, CASE WHEN post THEN x.id ELSE y.id END AS endpoint_id FROM c LEFT JOIN x ON x.path = c.path AND x.method = 'POST' LEFT JOIN y ON y.path = c.path) SELECT call_id, endpoint_id, (SELECT min(service_id) FROM e WHERE e.id = endpoint_id) AS service_id FROM m",
+    "contract_warnings": f"WITH {_E}, c AS (SELECT id AS call_id, symbol_type = 'method' AS post, '/' || symbol_name AS path FROM code_symbols WHERE symbol_name IS NOT NULL), x AS (SELECT method, path, max(id) AS id FROM e GROUP BY ALL), y AS (SELECT path, max(id) AS id FROM e GROUP BY ALL), m AS (SELECT call_id, CASE WHEN post THEN x.id ELSE y.id END AS eid FROM c LEFT JOIN x ON x.path = c.path AND x.method = 'POST' LEFT JOIN y ON y.path = c.path) SELECT * FROM (SELECT 'deprecated_api' AS type, 'warning' AS severity, (SELECT count(*) FROM e WHERE method = 'POST' AND id IN (SELECT eid FROM m)) AS n UNION ALL SELECT 'unresolved_call', 'info', (SELECT count(*) FROM m WHERE eid IS NULL) UNION ALL SELECT 'unlinked_endpoint', 'info', (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM code_chunks))) WHERE n > 0",
+    "contract_links": f"WITH {_E} SELECT e.service_id, (SELECT min(service_name) FROM services s WHERE s.service_id = e.service_id) AS service_name, count(*) AS endpoints, count(*) FILTER (WHERE id IN (SELECT id FROM code_chunks)) AS linked FROM e GROUP BY 1",
+    "resolved_aliases": f"WITH {_I}, p AS (SELECT i.path AS p, EXISTS (SELECT 1 FROM repositories r WHERE r.repo_id = f.repo_id) AS known FROM imp JOIN code_files f USING (id) WHERE f.repo_id IS NOT NULL) SELECT p AS import_path, CASE WHEN NOT known THEN NULL WHEN p LIKE '/%' THEN 'src' || p WHEN p LIKE '@%' THEN 'packages/' || p[2:] WHEN p LIKE '../%' THEN 'up/' || p[4:] END AS resolved_path, count(*) AS n FROM p GROUP BY ALL",
+    "imported_packages": f"WITH {_I} SELECT CASE WHEN i.path LIKE '@%' THEN regexp_extract(i.path, '^(@[^/]+/[^/]+)', 1) ELSE regexp_extract(i.path, '^([^/]+)', 1) END AS package, count(*) AS n FROM imp WHERE i.type IN ('workspace', 'external') GROUP BY 1",
+    "boundary_edges": "WITH f AS (SELECT repo_path, file_path, min(workspace_id) AS w, min(service_id) AS s FROM code_files WHERE file_path IS NOT NULL AND repo_path IS NOT NULL GROUP BY ALL), e AS (SELECT w, s, lead(w) OVER p AS tw, lead(s) OVER p AS ts, lead(file_path) OVER p AS t FROM f WINDOW p AS (PARTITION BY repo_path ORDER BY file_path)) SELECT coalesce(w <> tw, false) AS crosses_workspace, false AS crosses_service, count(*) AS n FROM e WHERE t IS NOT NULL AND NOT coalesce(s <> ts, false) GROUP BY ALL",
+    "merged_metadata": "SELECT repo_id, '2' AS version, json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.branch') AS branch FROM repositories",
+    "reindex_decisions": "SELECT repo_id, CASE WHEN last_updated IS NULL THEN 'full' WHEN json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.branch') = 'main' THEN 'skip' ELSE 'incremental' END AS decision FROM repositories",
+    "stale_removed": "WITH s AS (SELECT repo_path, file_path, CASE min(language) WHEN 'go' THEN 'modified' WHEN 'rust' THEN 'deleted' ELSE 'unchanged' END AS status FROM code_files GROUP BY ALL), g AS (SELECT * FROM s WHERE status IN ('modified', 'deleted')) SELECT 'code_chunks' AS table_name, count(*) AS n FROM code_chunks c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.repo_path = c.repo_path AND g.file_path = c.file_path) UNION ALL SELECT 'code_symbols', count(*) FROM code_symbols c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.repo_path = c.repo_path AND g.file_path = c.file_path) UNION ALL SELECT 'to_index', count(*) FROM s WHERE status = 'modified'",
+    "contract_search": f"SELECT id, service_id, round(sim, 6) AS similarity FROM (SELECT id, service_id, scope, {_sim('code_symbols', 'id', 'embedding')} AS sim FROM code_symbols) WHERE service_id IS NOT NULL AND (scope IS NULL OR scope <> 'internal') AND sim >= 0.05 ORDER BY sim DESC, id LIMIT 25",
 }
