@@ -19,7 +19,7 @@ from sparkloom.operators import assembly, graph, incremental, lookups, retrieval
 from sparkloom.session import load_or_none, materialise
 from sparkloom.sources import files as source_files
 
-TABLES = "repositories workspaces services code_files code_chunks code_symbols documents".split()
+TABLES = "repositories workspaces services code_files code_chunks code_symbols documents api_endpoints documentation_chunks documentation_files".split()
 Catalog = dict[str, DataFrame]
 
 
@@ -65,6 +65,21 @@ class SearchResult:
     symbols: DataFrame
     imports: DataFrame
     warnings: DataFrame
+    endpoints: DataFrame | None = None
+
+    def groups(self, by: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """Members of the result by workspace, service and repository (``by``, or wherever an id occurs)."""
+        from sparkloom.operators import context
+
+        parts = {"files": self.files, "chunks": self.chunks, "symbols": self.symbols}
+        return context.auto_groups(parts, {"files": "id", "chunks": "id", "symbols": "id"}, by)
+
+    def within(self, repos: Sequence[str]) -> SearchResult:
+        """The result without files and chunks of other repositories, and without symbols of other files. No ids give an empty result."""
+        from sparkloom.operators import context
+
+        p = context.restrict_to_repositories({"files": self.files, "chunks": self.chunks, "symbols": self.symbols}, repos)
+        return SearchResult(p["files"], p["chunks"], p["symbols"], self.imports.join(p["files"].select("repo_path").distinct(), "repo_path", "left_semi"), self.warnings, self.endpoints)
 
 
 def search_codebase(cat: Catalog, query: str, options: SearchOptions | None = None, embed: Callable[[str], list[float]] = hash_embedding) -> SearchResult:
@@ -93,7 +108,12 @@ def search_codebase(cat: Catalog, query: str, options: SearchOptions | None = No
     chunks = materialise(chunks, "chunks")
     starts = files.orderBy(F.desc("score"), "id").limit(10).select("repo_path", F.col("file_path").alias("node"))
     imports = graph.expand_imports(cat["code_files"], starts, o.import_depth)
-    return SearchResult(files, chunks, symbols, imports, assembly.search_warnings(files, chunks, T.token_estimate(F.col("chunk_content"))))
+    endpoints = None
+    if "api_endpoints" in cat:
+        from sparkloom.operators import context
+
+        endpoints = context.enrich(files, chunks, cat["api_endpoints"])["endpoints"]
+    return SearchResult(files, chunks, symbols, imports, assembly.search_warnings(files, chunks, T.token_estimate(F.col("chunk_content"))), endpoints)
 
 
 def search_references(cat: Catalog, query: str, k: int = 10, embed: Callable[[str], list[float]] = hash_embedding) -> DataFrame:
@@ -111,6 +131,14 @@ def find_symbol_definition(cat: Catalog, name: str, scope: str | None = None, li
     return lookups.symbol_search(cat["code_symbols"], name, limit, scope)
 
 
+def symbol_usages(cat: Catalog, name: str, per_file: int = 5) -> DataFrame:
+    """Files that import the symbol by name, with the lines: ``(repo_path, file_path, import_line, rank)``, at most ``per_file`` a file."""
+    from pyspark.sql import Window
+
+    i = lookups.parsed_imports(cat["code_files"], "repo_path", "file_path").where(F.array_contains("import_symbols", name))
+    return i.select("repo_path", "file_path", "import_line", F.row_number().over(Window.partitionBy("repo_path", "file_path").orderBy("import_line", "import_path")).alias("rank")).where(F.col("rank") <= per_file)
+
+
 def get_file_context(cat: Catalog, path: str) -> dict[str, DataFrame]:
     file = lookups.find_file(cat["code_files"], path)
     hit = file.first()
@@ -136,18 +164,31 @@ def service_edges(cat: Catalog) -> DataFrame:
 
 def get_service_context(cat: Catalog, service_id: str) -> dict[str, DataFrame]:
     e = service_edges(cat)
-    return {"service": cat["services"].where(F.col("service_id") == service_id), "dependencies": graph.neighbours(e, service_id), "dependents": graph.neighbours(e, service_id, reverse=True)}
+    endpoints = {"endpoints": cat["api_endpoints"].where(F.col("service_id") == service_id).orderBy("path", "id")} if "api_endpoints" in cat else {}
+    return endpoints | {"service": cat["services"].where(F.col("service_id") == service_id), "dependencies": graph.neighbours(e, service_id), "dependents": graph.neighbours(e, service_id, reverse=True)}
 
 
-def index_repository(spark: SparkSession, root: str, stored: DataFrame | None = None, ignore: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Files below ``root`` with their chunks, nodes and imports; with ``stored`` only new and modified files are parsed."""
-    from sparkloom.operators import decompose
+def index_repository(spark: SparkSession, root: str, stored: DataFrame | None = None, ignore: Sequence[str] | None = None, repo_id: str | None = None) -> dict[str, DataFrame]:
+    """Files below ``root`` with chunks, nodes, symbols, imports, summaries, workspaces, services and aliases; with ``stored`` only new and modified files are parsed.
+
+    ``ignore`` defaults to the ignore file at the root, ``repo_id`` to the root's name.
+    """
+    from sparkloom.operators import decompose, detect
 
     files = source_files.discover(spark, root, ignore).withColumn("id", F.xxhash64("file_path"))
     changes = incremental.detect_changes(files, stored if stored is not None else files.limit(0), ["file_path"], "file_hash")
     todo = files.join(changes.where("status in ('new', 'modified')").select("file_path"), "file_path", "left_semi")
+    nodes = decompose.file_nodes(todo, "id", "content", "language")
+    head = F.coalesce(T.docstring_head(F.col("content"), F.col("language")), T.structure_summary(F.col("content"), F.col("language")))
+    name = F.lit(repo_id or root.rstrip("/").rsplit("/", 1)[-1]).alias("repo_id")
+    listed = source_files.listing(spark, root)
+    p = F.col("file_path")
+    told = listed.where(p.rlike(r"(^|/)(package\.json|tsconfig\.json|app\.json|template\.yaml|pubspec\.yaml|(docker-)?compose\.ya?ml)$") | p.isin(*detect.TOOLS))
+    manifests = source_files.read_content(told.where(~p.rlike("(^|/)node_modules/"))).select("file_path", F.col("content").cast("string").alias("content"))
+    tree = listed.select("file_path").join(manifests, "file_path", "left").select(name, "file_path", F.coalesce("content", F.lit("")).alias("content"))
     return {
-        "changes": changes, "files": files, "chunks": decompose.file_chunks(todo, "id", "content", "language"), "nodes": decompose.file_nodes(todo, "id", "content", "language"), "imports": decompose.file_imports(todo, "id", "content", "language"),
+        "changes": changes, "files": files, "chunks": decompose.file_chunks(todo, "id", "content", "language"), "nodes": nodes, "symbols": decompose.symbols_of_nodes(nodes), "imports": decompose.file_imports(todo, "id", "content", "language"),
+        "summaries": todo.select("id", "file_path", T.clean_summary(head).alias("file_summary")), "workspaces": detect.workspaces(tree), "services": detect.services(tree), "aliases": detect.path_aliases(tree),
     }
 
 
@@ -178,9 +219,16 @@ def list_documentation(cat: Catalog) -> DataFrame:
 
 
 def find_cross_workspace_usages(cat: Catalog, package: str) -> DataFrame:
+    """Files using a package, counted by workspace; ``cross_workspace_imports`` has a row an import."""
     return lookups.usages_of_package(cat["code_files"], package).orderBy(F.desc("total_imports"), "workspace_id")
 
 
+def cross_workspace_imports(cat: Catalog, package: str, symbol: str | None = None) -> DataFrame:
+    """``(workspace_id, repo_path, file_path, import_line, symbol, depth)``: one row an import of the package; ``symbol`` only names the rows."""
+    i = lookups.parsed_imports(cat["code_files"], "workspace_id", "repo_path", "file_path").where(F.col("import_path") == package)
+    return i.select("workspace_id", "repo_path", "file_path", "import_line", F.coalesce(F.lit(symbol), F.array_join("import_symbols", ", ")).alias("symbol"), F.lit(1).alias("depth")).orderBy("repo_path", "file_path", "import_line")
+
+
 def find_cross_service_calls(calls: DataFrame, service_id: str, both_ways: bool = True) -> DataFrame:
     """Calls of a service by endpoint, those it makes and (``both_ways``) those made to it."""
     out = lookups.call_counts(calls.where(F.col("source_service") == service_id), "source_service", "target_service", "endpoint")
@@ -195,5 +243,9 @@ def delete_repository(cat: Catalog, repo_id: str) -> tuple[Catalog, DataFrame]:
     return {**cat, **left}, counts
 
 
-def delete_documentation(cat: Catalog, doc_ids: DataFrame) -> Catalog:
-    return {**cat, "documents": incremental.delete_keys(cat["documents"], doc_ids, ["doc_id"])}
+def delete_documentation(cat: Catalog, doc_ids: Sequence) -> tuple[Catalog, DataFrame]:
+    """The catalogue without the documents, and how many rows each documentation table loses."""
+    from sparkloom.operators import documentation
+
+    kept, counts = documentation.remove_documents({n: t for n, t in cat.items() if "doc_id" in t.columns}, doc_ids)
+    return {**cat, **kept}, counts

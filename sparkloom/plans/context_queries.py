@@ -1,6 +1,7 @@
 """Context assembly, boundaries, documentation, detection, maintenance and scalar texts, with their SQL twins.
 
-Endpoints stand for service interfaces and are made of the symbols that belong to a service; file links are made of imports whose last part is another file's stem.
+Endpoints stand for service interfaces and are made of the symbols that belong to a service. Hardly any stored import leads to a stored file, so file links are made of imports whose last part is
+another file's stem, and of each file's neighbours in the order of its repository's paths: one and three on, two back, with circles and several ways to a file.
 """
 
 from __future__ import annotations
@@ -254,7 +255,10 @@ def _links(s: SparkSession, d: str) -> DataFrame:
     f = load(s, d, "code_files").where("file_path is not null")
     i = L.parsed_imports(f, "file_path").select(F.col("file_path").alias("source"), F.regexp_extract("import_path", r"([^/.]+)$", 1).alias("stem"))
     t = f.select(F.col("file_path").alias("target"), F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]+$", "").alias("stem")).distinct()
-    return i.join(t, "stem").where("source <> target").select("source", "target").distinct()
+    w = Window.partitionBy("repo_path").orderBy("file_path")
+    near = f.where("repo_path is not null").select("repo_path", "file_path").distinct()
+    near = near.withColumn("t", F.array(F.lead("file_path", 1).over(w), F.lead("file_path", 3).over(w), F.lag("file_path", 2).over(w))).select(F.col("file_path").alias("source"), F.explode(F.array_compact("t")).alias("target"))
+    return i.join(t, "stem").select("source", "target").unionByName(near).where("source <> target").distinct()
 
 
 def file_links(s: SparkSession, d: str) -> DataFrame:
@@ -463,7 +467,8 @@ def _group_sql(key: str) -> str:
     )
 
 
-_LINKS = "links AS (SELECT DISTINCT s.file_path AS source, t.file_path AS target FROM (SELECT file_path, regexp_extract(i.path, '([^/.]+)$', 1) AS stem FROM imp WHERE file_path IS NOT NULL) s JOIN (SELECT DISTINCT file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]+$', '') AS stem FROM code_files WHERE file_path IS NOT NULL) t USING (stem) WHERE s.file_path <> t.file_path), st AS (SELECT source AS node FROM links GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 10)"
+_NEAR = "n AS (SELECT DISTINCT repo_path, file_path FROM code_files WHERE file_path IS NOT NULL AND repo_path IS NOT NULL), near AS (SELECT file_path AS source, unnest([lead(file_path, 1) OVER w, lead(file_path, 3) OVER w, lag(file_path, 2) OVER w]) AS target FROM n WINDOW w AS (PARTITION BY repo_path ORDER BY file_path))"
+_LINKS = f"{_NEAR}, links AS (SELECT DISTINCT source, target FROM (SELECT s.file_path AS source, t.file_path AS target FROM (SELECT file_path, regexp_extract(i.path, '([^/.]+)$', 1) AS stem FROM imp WHERE file_path IS NOT NULL) s JOIN (SELECT DISTINCT file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]+$', '') AS stem FROM code_files WHERE file_path IS NOT NULL) t USING (stem) UNION ALL SELECT source, target FROM near) WHERE source <> target), st AS (SELECT source AS node FROM links GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 10)"
 _DOCFILES = "df AS (SELECT repo_id AS doc_id, coalesce(file_path, '') AS file_path, list_filter([kind, lang], lambda x: x IS NOT NULL) AS tags, fetched_at AS indexed_at FROM documents WHERE repo_id IS NOT NULL)"
 _COUNTED = lambda cond, *tables: " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t} WHERE {cond}" for t in tables)
 _CNT = lambda rx: f"len(regexp_extract_all(chunk_content, '{rx}'))"

@@ -8,26 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkloom.operators.incremental import insert_ignore, replace_table, upsert
+from sparkloom.operators.versioned import Store
 
 
 def watch_parquet(spark: SparkSession, source: str, schema: str, target: str, keys: list[str], checkpoint: str, once: bool = True, on_batch: Callable[[DataFrame], None] | None = None, ignore_known: bool = False) -> StreamingQuery:
-    """Upsert every arriving batch of rows into the table at ``target`` (created when absent).
+    """Upsert every arriving batch of rows into the table ``rows`` of the versioned store at ``target`` (created when absent; ``Store(spark, target).read("rows")``).
+
+    A batch rewrites the buckets its keys fall into and nothing else; readers see the state before it or after it.
 
     A batch that is run again after a failure replaces the same keys, so the result is as if it had run once.
     """
 
+    store = Store(spark, target)
+
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            old = spark.read.schema(batch.schema).parquet(target)
-            new = insert_ignore(old, batch, keys) if ignore_known else upsert(old, batch, keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = batch.dropDuplicates(keys)
-        replace_table(new, target)
+        if "rows" in store.tables():
+            store.merge({"rows": batch}, ignore_known)
+        else:
+            store.replace({"rows": (batch.dropDuplicates(keys), keys)})
         if on_batch:
             on_batch(batch)
 

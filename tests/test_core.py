@@ -16,6 +16,7 @@ from sparkloom.operators import assembly, contracts, decompose, graph, increment
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import catalog
 from sparkloom.sources import files
+from sparkloom.operators.versioned import Store
 from sparkloom.streaming.watch import watch_parquet
 
 SF = "/root/testdata/sf0.001"
@@ -119,7 +120,20 @@ def test_stream_upserts(spark, tmp_path):
     watch_parquet(spark, src, "k bigint, h string", dst, ["k"], cp).awaitTermination()
     spark.createDataFrame([(2, "c"), (3, "d")], "k bigint, h string").write.mode("append").parquet(src)
     watch_parquet(spark, src, "k bigint, h string", dst, ["k"], cp).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(dst).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {tuple(r) for r in Store(spark, dst).read("rows").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_versioned_store(spark, tmp_path):
+    st = Store(spark, "file://" + str(tmp_path / "s"), buckets=4)
+    a = spark.createDataFrame([(k, str(k)) for k in range(20)], "k bigint, v string")
+    st.replace({"a": (a, ["k"]), "b": (a.limit(0), ["k"])})
+    before = st.read("a")
+    st.merge({"a": spark.createDataFrame([(1, "x"), (50, "y")], "k bigint, v string"), "b": a.limit(2)})
+    assert before.count() == 20 and {r.v for r in st.read("a").where("k in (1, 50)").collect()} == {"x", "y"} and st.read("a").count() == 21 and st.read("b").count() == 2
+    st.merge({"a": spark.createDataFrame([(1, "z"), (60, "w")], "k bigint, v string")}, ignore_known=True)
+    st.remove({"a": spark.createDataFrame([(2,)], "k bigint")})
+    assert {r.k: r.v for r in st.read("a").where("k in (1, 2, 60)").collect()} == {1: "x", 60: "w"} and st.tables() == ["a", "b"]
+    assert st.vacuum() >= 0 and st.read("a").count() == 21 and st.vacuum() == 0
 
 
 def test_metrics(spark):
@@ -186,6 +200,17 @@ def test_discovery(spark, tmp_path):
     out = api.index_repository(spark, str(tmp_path))
     assert out["chunks"].where("chunk_type = 'file_summary'").count() == out["files"].count()
     assert api.index_repository(spark, str(tmp_path), out["files"])["chunks"].count() == 0
+    (tmp_path / "package.json").write_text('{"name": "root", "workspaces": ["packages/*"]}')
+    (tmp_path / "packages/one").mkdir(parents=True)
+    (tmp_path / "packages/one/package.json").write_text('{"name": "@x/one"}')
+    (tmp_path / ".gitignore").write_text("src/b.py\n")
+    (tmp_path / "docs/openapi.yaml").write_text("openapi: 3\n")
+    again = api.index_repository(spark, str(tmp_path), repo_id="r")
+    assert [r.package_name for r in again["workspaces"].collect()] == ["@x/one"] and {r.service_path for r in again["services"].collect()} == {"packages/one"}
+    assert "src/b.py" not in {r.file_path for r in again["files"].collect()} and again["summaries"].where("file_summary like 'This file%.'").count() == again["files"].count()
+    listed = files.listing(spark, str(tmp_path))
+    assert [r.file_path for r in files.api_spec_files(listed).collect()] == ["docs/openapi.yaml"] and {r.file_path for r in files.markdown_files(listed).collect()} == {"README.md", "docs/x.md"}
+    assert [p.rsplit("/", 1)[-1] for p in files.resolve_paths(spark, [str(tmp_path / "docs"), str(tmp_path / "gone.md")])] == ["x.md", "gone.md"]
     assert files.detect(b"\xff\xfea\x00")[0] == "utf-16-le" and files.detect(b"\xef\xbb\xbfx") == ("utf-8", 1.0, "x")
 
 
