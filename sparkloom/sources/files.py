@@ -136,10 +136,16 @@ def read_content(files: DataFrame) -> DataFrame:
 
 def root_ignore(spark: SparkSession, root: str) -> list[str]:
     """The lines of the ignore file at the root (one file, read by the driver); none if there is none."""
-    from sparkloom.session import exists
-
-    where = root.rstrip("/") + "/.gitignore"
-    return [r.value for r in spark.read.text(where).collect()] if exists(spark, where) else []
+    # a name that starts with a dot is hidden from the readers of tables
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    src = fs.open(path)
+    try:
+        return bytes(src.readAllBytes()).decode("utf-8", "replace").splitlines()
+    finally:
+        src.close()
 
 
 def wanted_paths(files: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
