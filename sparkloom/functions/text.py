@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,16 +96,21 @@ def has_async(t: Column) -> Column:
 
 def clean_summary(s: Column, least: int = 50, most: int = 200) -> Column:
     """Collapse white space, lead in with ``This file``, end with a period, cut to ``most`` characters, fill up to ``least``."""
-    x = F.trim(F.regexp_replace(s, r"\s+", " "))
-    x = F.when(x.startswith("This file"), x).when(F.lower(x).startswith("this file"), F.concat(F.lit("T"), F.substring(x, 2, 1_000_000))).otherwise(F.concat(F.lit("This file "), x))
-    x = F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit(".")))
-    x = F.when(F.char_length(x) > most, F.concat(F.substring(x, 1, most - 3), F.lit("..."))).otherwise(x)
     tail = " for code organization."
+    x = F.trim(F.regexp_replace(s, r"\s+", " "))
+    x = _let(x, lambda v: F.when(v.startswith("This file"), v).when(F.lower(v).startswith("this file"), F.concat(F.lit("T"), F.substring(v, 2, 1_000_000))).otherwise(F.concat(F.lit("This file "), v)))
+    x = _let(x, lambda v: F.when(v.endswith("."), v).otherwise(F.concat(v, F.lit("."))))
+    x = _let(x, lambda v: F.when(F.char_length(v) > most, F.concat(F.substring(v, 1, most - 3), F.lit("..."))).otherwise(v))
     for _ in range(-(-least // (len(tail) - 1))):  # each filling replaces the last character
-        x = F.when(F.char_length(x) < least, F.concat(F.regexp_replace(x, r"(?s).$", ""), F.lit(tail))).otherwise(x)
+        x = _let(x, lambda v: F.when(F.char_length(v) < least, F.concat(F.regexp_replace(v, r"(?s).$", ""), F.lit(tail))).otherwise(v))
     return x
 
 
+def _let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(x)`` with x evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def is_minified(t: Column) -> Column:
     """More than 10 lines, and: over 5 lines longer than 500 characters, or line lengths alike (variance below 10), or under 5 % blanks."""
     lens = F.transform(F.split(t, "\n"), lambda x: F.char_length(x).cast("double"))
