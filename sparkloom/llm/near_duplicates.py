@@ -3,17 +3,19 @@
 Every text becomes the set of its distinct runs of three words. Its MinHash values are used twice: groups of ``rows`` form the
 ``bands`` keys (texts sharing a key are candidates), and all of them are folded into a 256-bit parity bitmap, the odd
 sketch. The XOR population count of two sketches estimates their similarity; a pair is dropped only when that
-estimate lies ``margin`` (about five standard errors) below the threshold, and every remaining pair is verified exactly on the
-shingle sets.
+estimate lies ``margin`` (about five standard errors) below the threshold, or when the parities of the shingles themselves, a second
+256-bit bitmap, differ in more bits than two such sets have shingles apart (this bound loses none). Every remaining pair is verified exactly on
+the shingle sets.
 
 Texts with the same shingle set form one class (a 64-bit key and the set's size, checked against a second, independent key).
 Only class representatives are banded and compared, so a text copied a million times is one row here.
 
 Keys shared by several classes carry size and sketch of each class, and pairs are compared where they meet: the join's condition is the
-size bound and the sketch estimate, so what leaves it are likely pairs. Hot keys, those of about ``hot`` classes and more, are known
-beforehand from a hashed sample of the classes and never meet in one task. They are refined: each class gets keys made of the hot
-key and the first two MinHash values of every band, so unlike texts that share one boilerplate key part, and
-alike ones meet again with probability 1-(1-s^2)^(bands-1) (1-8e-10 at 0.7). What is still large after that is cut into blocks, and blocks meet each other.
+size bound, the sketch estimate and the parity bound, so what leaves it are likely pairs. Hot keys, those of about ``hot`` classes and more, are known
+beforehand from a hashed sample of the classes and never meet in one task. Their classes get other keys in place of them: the rarest
+shingles of each set, as many as a pair over the threshold must share one of. So unlike texts that share one boilerplate key
+part, and no alike ones do; a class has the same keys however many of its own are hot. What is rare is told by counts on a bounded sample: any order that
+all sets follow is right, a better one gives smaller buckets. What is still large after that is cut into blocks, and blocks meet each other.
 
 Recall of the banding for a pair of similarity s is 1-(1-s^rows)^bands: 1-1.4e-6 at 0.7 with 32 bands of 3 rows. ``exact=True``
 finds candidates by prefixes instead (the rarest shingles of each set, as many as a pair over the threshold must share
@@ -36,8 +38,8 @@ from sparkloom.operators.components import connected_components
 from sparkloom.session import materialise, widen
 
 BANDS, ROWS, SKETCH_BITS = 32, 3, 256
-SIGNATURE = "tbl string, id bigint, cls bigint, chk bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
-SIDE = ["n", "s0", "s1", "s2", "s3"]
+SIGNATURE = "tbl string, id bigint, cls bigint, chk bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, bands array<bigint>"
+SIDE = ["n", "s0", "s1", "s2", "s3", "p0", "p1", "p2", "p3"]
 
 
 def _constants(samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,13 @@ def sketch_sets(s: np.ndarray, off: np.ndarray, salt: np.ndarray, bands: int = B
     return cls, chk, sketch, mix(keys ^ salt[:, None] ^ (np.arange(bands, dtype=U64) << U64(40))[None, :])
 
 
+def set_parities(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (n x 4 words) of non-empty shingle sets: two of them differ in no more bits than the sets have shingles that are not shared."""
+    pos = mix(s ^ U64(0x8EBC6AF09C88C6E3)) % U64(SKETCH_BITS)
+    word, bit = pos >> U64(6), U64(1) << (pos & U64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == U64(w), bit, U64(0)), off[:-1]) for w in range(4)], axis=1)
+
+
 def _sets(texts: list[str | None], shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows with at least ``min_words`` words, their distinct shingle hashes and offsets."""
     h, off = word_hashes(texts)
@@ -94,6 +103,7 @@ def signatures(df: DataFrame, shingle: int, min_words: int, bands: int = BANDS,
                 known = {t: xxhash.xxh64_intdigest(t) for t in set(names)}
                 salt = mix(np.array([known[t] for t in names], dtype=U64))
                 cls, chk, sketch, keys = sketch_sets(s, own, salt, bands, rows)
+                parity = set_parities(s, own)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names),
@@ -102,6 +112,7 @@ def signatures(df: DataFrame, shingle: int, min_words: int, bands: int = BANDS,
                         pa.array(chk.view(np.int64)),
                         pa.array(np.diff(own).astype(np.int32)),
                         *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)),
+                        *(pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(4)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel())),
                     ],
                     names=[c.split()[0] for c in SIGNATURE.split(", ")],
@@ -110,20 +121,38 @@ def signatures(df: DataFrame, shingle: int, min_words: int, bands: int = BANDS,
     return widen(df.where("id is not null and text is not null").select("tbl", "id", "text")).mapInArrow(run, SIGNATURE)
 
 
-def _halves(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``df(cls, text)`` -> ``(cls, halves)``: for every band the hash of its first two MinHash values."""
+def rarest(s: np.ndarray, off: np.ndarray, known: np.ndarray, times: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the rarest shingles, one of which any set of that similarity has among its own rarest, and their offsets. ``known`` (sorted) have counts, others count as none."""
+    n = np.diff(off)
+    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+    often = np.where(known[at] == s, times[at], 0) if len(known) else np.zeros(len(s), np.int64)
+    order = np.lexsort((s, often, np.repeat(np.arange(len(n)), n)))
+    most = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(s)) - np.repeat(off[:-1], n) < np.repeat(most, n)
+    return s[order][first], np.concatenate([[0], np.cumsum(np.minimum(most, n))])
+
+
+def _rarest_shingles(df: DataFrame, shingle: int, threshold: float, sample_rows: int = 16_384, most: int = 100_000) -> DataFrame:
+    """``df(tbl, cls, text)`` -> ``(cls, band)``: keys of the rarest shingles. At most ``most`` counts, of the shingles of about ``sample_rows`` texts, travel with the function."""
+    rate = max(1, df.count() // sample_rows)
+    few = shingle_sets(df.where(F.pmod(F.xxhash64("cls"), F.lit(rate)) == 0), shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    counts = few.where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    known, times = counts.column("h").to_numpy().view(U64), counts.column("n").to_numpy()
+    known, times = known[np.argsort(known)], times[np.argsort(known)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, texts = b.column(0), b.column(1).to_pylist()
+            tbl, cls, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for lo, hi in byte_batches(texts):
                 keep, s, own = _sets(texts[lo:hi], shingle, 0)
-                mins = min_hashes(s, own, bands * rows)
-                two = mix(mins[:, 0::rows] * U64(0x9FB21C651E98DF25) + mins[:, min(1, rows - 1) :: rows])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(two.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([cls.slice(lo, hi - lo).take(pa.array(keep)), flat], names=["cls", "halves"])
+                if not len(keep):
+                    continue
+                h, off = rarest(s, own, known, times, threshold)
+                flat = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo).take(pa.array(keep)) for c in (tbl, cls)), flat], names=["tbl", "cls", "hashes"])
 
-    return df.select("cls", "text").mapInArrow(run, "cls bigint, halves array<bigint>")
+    rare = df.select("tbl", "cls", "text").mapInArrow(run, "tbl string, cls bigint, hashes array<bigint>")
+    return rare.select("tbl", "cls", F.explode("hashes").alias("h")).select("cls", F.xxhash64("tbl", "h").alias("band"))
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
@@ -204,10 +233,11 @@ def near_duplicates(
     sig = materialise(signatures(df, shingle, min_words, bands, rows), "signatures")
     reps = materialise(sig.groupBy("cls").agg(
         F.min("tbl").alias("tbl"), F.min("id").alias("rep"), F.min("n").alias("n"), F.min("chk").alias("lo"), F.max("chk").alias("hi"),
-        *(F.min(f"s{i}").alias(f"s{i}") for i in range(4)), F.first("bands").alias("bands"),
+        *(F.min(c).alias(c) for c in SIDE[1:]), F.first("bands").alias("bands"),
     ).withColumn("n", F.expr("if(lo <> hi, raise_error('two shingle sets have one class key'), n)")).drop("lo", "hi"), "classes")
     text_of = lambda wanted: df.join(wanted.select("tbl", "cls", F.col("rep").alias("id")), ["tbl", "id"]).dropDuplicates(["cls"])
-    alike: Column = F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")
+    apart = sum((F.expr(f"bit_count(x_p{i} ^ y_p{i})") for i in range(1, 4)), F.expr("bit_count(x_p0 ^ y_p0)"))
+    alike: Column = (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")) & (apart <= (1 - threshold) / (1 + threshold) * (F.col("x_n") + F.col("y_n")) + 1e-6)
     if exact:
         full = materialise(shingle_sets(text_of(reps), shingle), "all-sets")
         keys = _prefix_keys(full.join(reps.select("tbl", "cls", "n"), "cls"), threshold)
@@ -224,9 +254,8 @@ def near_duplicates(
         if some:
             often = F.broadcast(often) if some <= 100_000 else often  # the size is known; beyond it the join is shuffled
             mine = reps.join(keys.join(often, "band", "left_semi").select("cls").distinct(), "cls", "left_semi")
-            half = _halves(text_of(mine), shingle, bands, rows)
-            finer = keys.join(often, "band", "left_semi").select("cls", F.col("band").alias("b")).join(half, "cls").select("cls", "b", F.posexplode("halves").alias("k", "half"))
-            shared = _shared(keys.join(often, "band", "left_anti"), False).unionByName(_shared(finer.select("cls", F.xxhash64("b", "k", "half").alias("band")), True))
+            finer = _rarest_shingles(materialise(text_of(mine), "hot-texts"), shingle, threshold)
+            shared = _shared(keys.join(often, "band", "left_anti"), False).unionByName(_shared(finer, True))
         else:
             shared = _shared(keys, False)
     shared = materialise(shared.join(side, "cls"), "buckets")

@@ -359,6 +359,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.duplicate_pairs(links, members).count() == 0 and near_duplicates.duplicate_groups(links, members).count() == 0
 
 
+def test_near_duplicates_write_little_for_a_family_of_unlike_texts(spark, monkeypatch):
+    r = random.Random(6)
+    common = prose(r, 40)
+    rows = [("a", i, common + " " + prose(r, 20)) for i in range(60)] + [("a", 100, common + " " + prose(r, 3)), ("a", 101, common + " " + prose(r, 3))]
+    df = spark.createDataFrame(rows, "tbl string, id bigint, text string")
+    written, whole = {}, near_duplicates.materialise
+    monkeypatch.setattr(near_duplicates, "materialise", lambda d, name, by=None: written.setdefault(name, whole(d, name, by)))
+    for hot in (4096, 8):
+        written.clear()
+        links, members = near_duplicates.near_duplicates(df, hot=hot)
+        assert {tuple(x) for x in near_duplicates.duplicate_pairs(links, members).select("id_a", "id_b").collect()} == {(100, 101)}
+        assert written["likely"].count() <= 60  # of 1,891 pairs of similarity 0.5
+        assert written["buckets"].count() <= 62 * (32 + 19)  # its own band keys, and three in ten of its shingles
+
+
 # --- p7
 def test_packing(spark):
     r = random.Random(3)
