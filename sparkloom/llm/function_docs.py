@@ -386,9 +386,67 @@ _OTHER = {"md", "json", "yaml", "yml", "toml", "ini", "cfg", "conf", "env", "xml
 _LONG = re.compile(r"""[rRbBuUfF]{0,2}(\"\"\"|''')""")
 
 
+_AFTER = {k: re.compile(v.pattern[1:]) for k, v in FUNC.items()}  # the same behind other code of the line
+_TYPE_AFTER = re.compile(TYPE.pattern[1:])
+_NOTES = re.compile(r"\s*(?:/\*(?:[^*]|\*(?!/))*\*/\s*)*")
+_MORE = re.compile(r"[{};,/]\s*[^\s{};,]")
+_QUOTED = r'"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|//.*|/\*(?:[^*]|\*(?!/))*\*/|[{}()\[\];,]'
+_TOKENS = {True: re.compile(r"'(?:\\.|[^'\\])*'|" + _QUOTED), False: re.compile(r"'(?:\\[^']*|[^'\\])'|" + _QUOTED)}  # else a quote may be a lifetime
+_OPENS_LONG = re.compile(r"""^[^#"']*(?:[=(\[{,:+%]|\b(?:return|yield|in|and|or))\s*[rRbBuUfF]{0,2}(\"\"\"|''')""")
+_GENERATOR = re.compile(r"\*[\w$]+\(")
+
+
+def one_a_line(lines: list[str], lang: str) -> list[str]:
+    """The lines, broken before every further function or type on a line and behind a comment that stands before one. New lines are indented by the braces that are open."""
+    rx, tokens, out, inside = _AFTER[lang], _TOKENS[lang in ("js", "php")], [], False
+    for line in lines:
+        lead = len(line) - len(line.lstrip())
+        start = lead
+        if inside:
+            if "*/" not in line:
+                out.append(line)
+                continue
+            inside, start = False, line.index("*/") + 2
+        elif line.startswith("/*", lead) and "*/" not in line:
+            inside = True
+            out.append(line)
+            continue
+        if line.startswith("//", lead) or not (_MORE.search(line) if start == lead else line[start:].strip()):
+            out.append(line)
+            continue
+        cuts: list[tuple[int, int]] = []  # position, open braces
+
+        def begins(at: int, depth: int, line: str = line, lead: int = lead, cuts: list[tuple[int, int]] = cuts) -> None:
+            code = _NOTES.match(line, at).end()
+            if rx.match(line, code) or _TYPE_AFTER.match(line, code):
+                if at > lead:
+                    cuts.append((at, depth))
+                if line[at:code].strip():
+                    cuts.append((code, depth))
+
+        stack: list[str] = []
+        begins(start, 0)
+        for m in tokens.finditer(line, start):
+            x = m.group(0)
+            if x in "([{":
+                stack.append(x)
+            elif x in ")]}" and stack:
+                stack.pop()
+            if (x in "{};" or (x == "," and lang == "js")) and stack[-1:] in ([], ["{"]):
+                begins(m.end(), stack.count("{"))
+        ends = [*(a for a, _ in cuts), len(line)]
+        out.append(line[: ends[0]])
+        out += [" " * (lead + depth) + line[a:b].strip() for (a, depth), b in zip(cuts, ends[1:], strict=True)]
+    return out
+
+
 def functions(text: str, lang: str) -> Iterator[tuple[str, str, str | None, str, bool, str, bool]]:
     """(name, qualified name, the same in the base type, normalised signature, has a body, description, says something) of every function in a text."""
     lines = text.replace("\r\n", "\n").split("\n")
+    if lang == "rb":
+        lines = [y for x in lines for y in re.split(r";[ \t]*(?=def[ \t])", x)] if ";" in text else lines
+    elif lang != "py":
+        lines = one_a_line(lines, lang)
     rx, scans = FUNC[lang], Scans(lines)
     types: list[tuple[int, str, str | None]] = []
     inside: str | None = None  # of a block comment or a long string
@@ -406,13 +464,16 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, str, str | None, str,
         if quote and s.count(quote.group(1)) == 1:
             inside = quote.group(1)
             continue
+        opens = _OPENS_LONG.match(line) if lang == "py" and not quote else None
+        if opens and line.count(opens.group(1)) == 1:
+            inside = opens.group(1)  # from the next line on
         if lang == "rb" and s == "=begin":
             inside = "=end"
             continue
         if lang not in ("py", "rb") and s.startswith("/*") and "*/" not in s:
             inside = "*/"
             continue
-        if _strip_line(line, lang) is not None or s.startswith(("*", "/*")):
+        if _strip_line(line, lang) is not None or (s.startswith(("*", "/*")) and not (lang == "js" and _GENERATOR.match(s))):
             continue
         t = TYPE.match(line)
         if t:
@@ -483,7 +544,8 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, str, str | None, str,
         ok = says_something(doc, name, params)
         if lang == "py":
             end = last
-            own = description(docstring(lines, end), name, params)
+            beside = rest.partition(":")[2].strip() if rest.lstrip().startswith((":", "->")) else ""  # a body on the same line
+            own = description(docstring([beside, *lines[end + 1 :]], -1) if beside.lstrip("rRuUbB").startswith(('"', "'")) else docstring(lines, end), name, params)
             if own and (not ok or says_something(own, name, params)):
                 doc, ok = (own, True) if says_something(own, name, params) else (doc or own, ok)
         skip_to = last if last > i else -1

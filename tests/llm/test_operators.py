@@ -329,6 +329,27 @@ def test_documented_functions_of_any_length():
         assert [(x[0], x[5]) for x in function_docs.functions(text, lang) if x[6]] == [("f", doc)]
 
 
+def test_documented_functions_that_share_a_line():
+    one, two = "Opens every window of the house at noon.", "Closes the doors behind the last guest tonight."
+    cases = [
+        ("js", f"/** {one} */ function f(a) {{ return g(a, '}}'); }} /** {two} */ function h(b) {{ for (;;) {{ g(); }} }}\n", ["f", "h"], ["f", "h"]),
+        ("js", f"/** {one} */function f(a){{return 1}}function k(){{return 2}}/** {two} */const h=(b)=>{{return 3}};\n", ["f", "h"], ["f", "k", "h"]),
+        ("js", f"class A {{ /** {one} */ f(a) {{ return 1; }} /** {two} */ h() {{ }} }}\n", ["f", "h"], ["A.f", "A.h"]),
+        ("js", f"/**\n * {one}\n */ function f(a) {{\n}}\nclass B {{\n  /** {two} */\n  *h() {{\n  }}\n}}\n", ["f", "h"], ["f", "B.h"]),
+        ("java", f"class A {{ /** {one} */ int f(int a) {{ return 1; }} /** {two} */ int h(int b) {{ return 2; }} }}\n", ["f", "h"], ["A.f", "A.h"]),
+        ("c", f"/* {one} */ int f(int a) {{ return a; }} /* {two} */ int h(void) {{ return f(1); }}\n", ["f", "h"], ["f", "h"]),
+        ("rs", f"/** {one} */ fn f<'a>(x: &'a str) {{}} /** {two} */ fn h(y: char) {{ g('{{'); }}\n", ["f", "h"], ["f", "h"]),
+        ("go", f"/* {one} */ func f() {{ g() }}; /* {two} */ func h() {{ }}\n", ["f", "h"], ["f", "h"]),
+        ("php", f"/** {one} */ function f($a) {{ }} /** {two} */ function h($b) {{ }}\n", ["f", "h"], ["f", "h"]),
+        ("py", f'def f(a): """{one}"""\nTEXT = """\ndef no():\n    pass\n"""\ndef h(b):\n    """{two}"""\n', ["f", "h"], ["f", "h"]),
+        ("rb", f"# {one}\ndef f(a); end; def h(b); end\n", ["f"], ["f", "h"]),
+        ("js", f"call(x); /* {one} */\nfunction f(a) {{ }} // {two}\nfunction h(b) {{ }}\n", [], ["f", "h"]),
+    ]
+    for lang, text, documented, every in cases:
+        got = list(function_docs.functions(text, lang))
+        assert [x[1] for x in got] == every and [x[0] for x in got if x[6]] == documented, (lang, text, got)
+
+
 # --- p6
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(2)
