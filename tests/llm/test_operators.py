@@ -178,6 +178,25 @@ def test_similar_vectors_against_brute_force(spark):
         assert set(got) == set(range(0, 1500, 5)) and hit / 3000 >= (1 if exact else 0.97)
 
 
+def test_similar_vectors_query_loses_no_neighbour(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparkloom.llm import queries
+
+    v = np.random.default_rng(9).standard_normal((12_000, 64)).astype(np.float32)  # no clusters: neighbours lie in any list
+    for t, c in (("code_files", "summary_embedding"), ("code_chunks", "embedding"), ("code_symbols", "embedding")):
+        pq.write_table(pa.table({"id": pa.array(range(12_000), pa.int64()), c: pa.array(list(v), pa.list_(pa.float32()))}).slice(0, 12_000 if t == "code_chunks" else 50), tmp_path / f"{t}.parquet")
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 12_000, 40):
+        c = np.round(u @ u[i], 6)
+        c[i] = -9
+        want |= {(i, int(j)) for j in np.lexsort((np.arange(12_000), -c))[:10]}
+    assert {(x.id, x.neighbor_id) for x in queries.p3_found(spark, str(tmp_path)).collect() if x.tbl == "code_chunks"} == want
+
+
 def test_similar_vectors_tiny_and_empty(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.0, 1.0])], "id bigint, e array<float>")
     out = similar_vectors.similar_vectors({"a": (df, "id", "e"), "b": (df.limit(0), "id", "e")}, dim=2).collect()
